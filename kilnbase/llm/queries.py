@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common
 
@@ -13,6 +14,18 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import topk_search
+
+    return topk_search.search(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, factor=256.0)
+
+
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import embed_dedup
+
+    return embed_dedup.near_duplicates(common.table(spark, sf_dir, "embeddings"), least_cosine=0.93)
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_store
 
@@ -29,5 +42,31 @@ def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, docs, _vocabulary("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op5_token_store, op7_best_two_fit)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op4_embedding_near_dedup, op5_token_store, op7_best_two_fit)}
+
+ORACLES: dict[str, str] = {
+    "op1_topk_search": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+        ), r AS (
+            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+        ) SELECT * FROM r WHERE rank <= 5""",
+    "op4_embedding_near_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+        ), links AS (
+            SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+        ), reach AS (
+            SELECT vec_id AS x, vec_id AS y FROM v
+            UNION
+            SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+        ), c AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+        n AS (SELECT x, count(*) AS n_links FROM links GROUP BY x)
+        SELECT v.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+        FROM v JOIN c ON c.x = v.vec_id LEFT JOIN n ON n.x = v.vec_id""",
+}
