@@ -152,7 +152,7 @@ def _group(table: pa.Table, least_cosine: float) -> pa.Table:
     asks = table["asks"].to_numpy(zero_copy_only=False).astype(bool)
     rep, weight = table["rep"].to_numpy(), table["weight"].to_numpy()
     out_rep, out_links, out_other = [], [], []
-    for dims, (at, values) in _by_length(pa.array(np.arange(len(table))), table["embedding"]).items():
+    for dims, (at, values) in _by_length(pa.array(np.arange(len(table))), table["embedding"].combine_chunks()).items():
         hole = Pigeonhole(dims, least_cosine)
         raw = values.astype(np.float64)
         length = np.sqrt((raw * raw).sum(1))
