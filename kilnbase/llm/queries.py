@@ -42,7 +42,16 @@ def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, docs, _vocabulary("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op4_embedding_near_dedup, op5_token_store, op7_best_two_fit)}
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import byte_bpe
+
+    docs = common.table(spark, sf_dir, "documents")
+    return byte_bpe.digests(docs, _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op1_topk_search, op4_embedding_near_dedup, op5_token_store, op7_best_two_fit, op9_byte_bpe)}
 
 ORACLES: dict[str, str] = {
     "op1_topk_search": """
