@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from . import common
 
 CACHE_PARTS = 500_000
-CACHE_PIECES = 400_000
-CACHE_PAIRS = 1_000_000
+CACHE_PIECES = 900_000
+CACHE_PAIRS = 500_000
 #: White space for the pattern, the Unicode property. Fixed values.
 WHITE = "\\t\\n\\x0b\\f\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -151,15 +151,46 @@ class PrefixText:
         return end - start
 
 
-class _Pieces(dict):
-    def __init__(self, bpe: PrefixBPE, limit: int):
-        super().__init__()
-        self.bpe, self.limit = bpe, limit
+class _Pieces:
+    """Ids of pieces and of their prefixes, as little-endian uint32.
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.bpe.encode(piece.encode()), "<u4").tobytes()
-        if len(self) < self.limit:
-            self[piece] = ids
+    A prefix's ids are those of the shorter prefix before its last token, and the last token; pieces
+    share prefixes, so the table is one for all pieces of a worker, up to a bound on its size.
+    """
+
+    LONG = 64
+
+    def __init__(self, bpe: PrefixBPE, limit: int):
+        self.bpe, self.limit, self.table = bpe, limit, {}
+        self.packed = {rank: rank.to_bytes(4, "little") for rank in bpe.spelling}
+        self.last = {ids: rank for rank, ids in self.packed.items()}
+
+    def __getitem__(self, piece: str) -> bytes:
+        data = piece.encode()
+        found = self.table.get(data)
+        if found is None:
+            if len(data) > self.LONG:
+                return b"".join(map(self.packed.__getitem__, self.bpe.encode(data)))
+            found = self._prefix(data, {})
+        return found
+
+    def _prefix(self, data: bytes, fresh: dict[bytes, bytes]) -> bytes:
+        ranks, end = self.bpe.ranks, len(data)
+        for size in range(min(end, self.bpe.reach[data[-1]]), 0, -1):
+            token = ranks.get(data[end - size :])
+            if token is None:
+                continue
+            if size == end:
+                ids = self.packed[token]
+                break
+            shorter = data[: end - size]
+            before = self.table.get(shorter) or fresh.get(shorter) or self._prefix(shorter, fresh)
+            if self.bpe.may_follow(self.last[before[-4:]], token):
+                ids = before + self.packed[token]
+                break
+        else:
+            raise ValueError("the vocabulary lacks a single byte")
+        (self.table if len(self.table) < self.limit else fresh)[data] = ids
         return ids
 
 
@@ -185,6 +216,8 @@ class TextEncoder:
         self.white_after_space = regex.compile(f" (?:[{WHITE}]|$)")
         self.pieces = _Pieces(self.bpe, CACHE_PIECES)
         self.parts = _Parts(self, CACHE_PARTS)
+        self.spelling = Spelling(self.bpe.spelling)
+        self.decimals = Spelling({rank: b"%d " % rank for rank in self.bpe.spelling})
 
     def encode_plainly(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
@@ -206,7 +239,7 @@ def encoder(path: str, pattern: str) -> TextEncoder:
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """`docs` (doc_id, text): doc_id, ids array<int>."""
-    return _run(docs, path, pattern, "doc_id long, ids array<int>", lambda ids, bpe: (ids.astype(np.int32),), [pa.list_(pa.int32())], ["ids"])
+    return _run(docs, path, pattern, "doc_id long, ids array<int>", lambda ids, texts: (ids.astype(np.int32),), [pa.list_(pa.int32())], ["ids"])
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -227,16 +260,25 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 _digest, [pa.int64(), pa.string(), pa.string()], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-@lru_cache(maxsize=1)
-def _decimals(n: int) -> list[str]:
-    return [str(k) for k in range(n)]
+class Spelling:
+    """Joins the spellings of ids, all at once: a table of bytes and where each id's bytes lie."""
+
+    def __init__(self, spelled: dict[int, bytes]):
+        known = max(spelled) + 1
+        self.size = np.array([len(spelled.get(k, b"")) for k in range(known)], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(spelled.get(k, b"") for k in range(known)), np.uint8)
+
+    def join(self, ids: np.ndarray) -> bytes:
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        if not len(ids):
+            return b""
+        return self.flat[np.repeat(self.start[ids] - ends + size, size) + np.arange(ends[-1])].tobytes()
 
 
-def _digest(ids: np.ndarray, bpe: PrefixBPE) -> tuple:
-    listed = ids.tolist()
-    decimals = _decimals(max(bpe.spelling) + 1)
-    spelled = " ".join(map(decimals.__getitem__, listed))
-    return len(listed), hashlib.sha256(spelled.encode()).hexdigest(), hashlib.sha256(bpe.decode(listed)).hexdigest()
+def _digest(ids: np.ndarray, texts: TextEncoder) -> tuple:
+    return len(ids), hashlib.sha256(texts.decimals.join(ids)[:-1]).hexdigest(), hashlib.sha256(texts.spelling.join(ids)).hexdigest()
 
 
 def _run(docs: DataFrame, path: str, pattern: str, schema: str, make, kinds, names) -> DataFrame:
@@ -245,7 +287,7 @@ def _run(docs: DataFrame, path: str, pattern: str, schema: str, make, kinds, nam
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = encoder(path, pattern)
         for batch in batches:
-            rows = [make(np.frombuffer(texts.encode(t.as_py()), "<u4"), texts.bpe) for t in batch.column(1)]
+            rows = [make(np.frombuffer(texts.encode(t.as_py()), "<u4"), texts) for t in batch.column(1)]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", *names])
 
