@@ -35,6 +35,12 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ngram_join
+
+    return ngram_join.linked_groups(common.table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
@@ -51,7 +57,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(docs, _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op4_embedding_near_dedup, op5_token_store, op7_best_two_fit, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op4_embedding_near_dedup, op5_token_store, op6_ngram_jaccard, op7_best_two_fit, op9_byte_bpe)}
 
 ORACLES: dict[str, str] = {
     "op1_topk_search": """
