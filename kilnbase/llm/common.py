@@ -62,3 +62,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Arrow batches of so few rows that a batch of long texts stays small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def summed(parts: DataFrame, dtype: str) -> DataFrame:
+    """Adds up rows (name string, block int, part int, counts binary) by (name, block), as int64.
+
+    In two levels, by `part` first, so that no task adds the counts of more than a share of all tasks.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def add(kind):
+        def run(table):
+            total = sum(np.frombuffer(c.as_buffer(), kind).astype(np.int64) for c in table["counts"])
+            return pa.table([table["name"].slice(0, 1), table["block"].slice(0, 1), pa.array([total.tobytes()], pa.binary())], names=["name", "block", "counts"])
+
+        return run
+
+    schema = "name string, block int, counts binary"
+    return parts.groupBy("name", "block", "part").applyInArrow(add(dtype), schema).groupBy("name", "block").applyInArrow(add("<i8"), schema)

@@ -48,6 +48,18 @@ def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, docs, _vocabulary("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    return langid.predict(common.table(spark, sf_dir, "documents"))
+
+
+def op10_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    return quality.select(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -57,7 +69,8 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(docs, _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op4_embedding_near_dedup, op5_token_store, op6_ngram_jaccard, op7_best_two_fit, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op4_embedding_near_dedup, op5_token_store, op6_ngram_jaccard, op7_best_two_fit,
+                                   op8_language_id, op9_byte_bpe, op10_quality_resampling)}
 
 ORACLES: dict[str, str] = {
     "op1_topk_search": """
