@@ -81,3 +81,24 @@ def summed(parts: DataFrame, dtype: str) -> DataFrame:
 
     schema = "name string, block int, counts binary"
     return parts.groupBy("name", "block", "part").applyInArrow(add(dtype), schema).groupBy("name", "block").applyInArrow(add("<i8"), schema)
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[str], name: str = "rank", rows: int | None = None, per_bucket: int = 50_000) -> DataFrame:
+    """Adds the rank, from 0 and without gaps, of each row among those with equal `keys`.
+
+    Rows are numbered within hash buckets of `order`, and buckets are offset by a running sum, so a key that
+    a third of all rows share is spread over many tasks. Ranks ascend with `order` within a bucket only. The
+    same rows in `df` must come back when it is read twice: give it a written table.
+    """
+    from pyspark.sql import Window as W
+    from pyspark.sql import functions as F
+
+    count = df.count() if rows is None else rows
+    buckets = max(1, -(-count // per_bucket))
+    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    sizes = dealt.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
+    over = W.partitionBy(*keys).orderBy("_bucket") if keys else W.orderBy("_bucket")
+    offsets = sizes.withColumn("_before", F.sum("_n").over(over) - F.col("_n")).drop("_n")
+    inner = dealt.withColumn("_rank", F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(*order)) - 1)
+    joined = inner.join(offsets, [*keys, "_bucket"])
+    return joined.withColumn(name, (F.col("_rank") + F.col("_before")).cast("long")).drop("_rank", "_before", "_bucket")

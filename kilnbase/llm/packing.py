@@ -26,7 +26,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -95,12 +94,7 @@ def pack(runs: DataFrame, capacity: int, key: list[str], runs_per_bucket: int =
     """`runs` (a written table with `length` and the columns of `key`) with sequence_id and offset."""
     spark = runs.sparkSession
     histogram = {r["length"]: r["n"] for r in runs.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    buckets = max(1, -(-sum(histogram.values()) // runs_per_bucket))
-    dealt = runs.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
-    sizes = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    offsets = sizes.select("length", "bucket", (F.sum("n").over(W.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
-    ranked = dealt.withColumn("rank", F.row_number().over(W.partitionBy("length", "bucket").orderBy(*key)) - 1)
-    placed = ranked.join(offsets, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before")).drop("before", "bucket")
+    placed = common.ranked(runs, ["length"], key, "rank", rows=sum(histogram.values()), per_bucket=runs_per_bucket)
 
     # Every length's runs lie one after the other on a line; each pattern owns stretches of it.
     base, at = {}, 0

@@ -20,6 +20,18 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, factor=256.0)
 
 
+def op2_label_propagation_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sharding
+
+    return sharding.shard(common.table(spark, sf_dir, "documents"), shards=24)
+
+
+def op3_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    return pii.detect(common.table(spark, sf_dir, "documents"))
+
+
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import embed_dedup
 
@@ -69,7 +81,8 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(docs, _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op4_embedding_near_dedup, op5_token_store, op6_ngram_jaccard, op7_best_two_fit,
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_label_propagation_sharding, op3_pii_weak_supervision,
+                                   op4_embedding_near_dedup, op5_token_store, op6_ngram_jaccard, op7_best_two_fit,
                                    op8_language_id, op9_byte_bpe, op10_quality_resampling)}
 
 ORACLES: dict[str, str] = {
