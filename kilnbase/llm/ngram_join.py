@@ -218,3 +218,21 @@ def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, size: int, per
         sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     same = F.size(F.array_intersect("x", "y"))
     return whole.where(100 * same >= percent * (F.size("x") + F.size("y") - same)).select("a", "b").distinct()
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each linked group stays, that of the smallest doc_id; columns stay.
+
+    Of rows that share a doc_id the one with the smallest text stays. Rows without a doc_id all stay.
+    """
+    groups = common.written(linked_groups(docs, size, percent), "shingle-groups")
+    known = groups.where("doc_id is not null")
+    gone = known.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    out = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    again = known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_again"))
+    if again.isEmpty():
+        return out
+    marked = out.join(again, F.col("doc_id").cast("long") == F.col("_again"), "left")
+    first = F.row_number().over(W.partitionBy("_again").orderBy(F.col("text").asc_nulls_last()))
+    several = marked.where("_again is not null").withColumn("_nth", first).where("_nth = 1").drop("_nth", "_again")
+    return marked.where("_again is null").drop("_again").unionByName(several)
