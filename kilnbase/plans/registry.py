@@ -45,5 +45,5 @@ def _import_all() -> None:
         importlib.import_module(module)
 
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("kilnbase.plans.relational", "kilnbase.plans.scalar", "kilnbase.plans.composed", "kilnbase.plans.knowledge")
 _import_all()
