@@ -45,5 +45,6 @@ def _import_all() -> None:
         importlib.import_module(module)
 
 
-MODULES: tuple[str, ...] = ("kilnbase.plans.relational", "kilnbase.plans.scalar", "kilnbase.plans.composed", "kilnbase.plans.knowledge")
+MODULES: tuple[str, ...] = ("kilnbase.plans.relational", "kilnbase.plans.scalar", "kilnbase.plans.composed", "kilnbase.plans.knowledge",
+                            "kilnbase.plans.streams", "kilnbase.plans.connectors")
 _import_all()
