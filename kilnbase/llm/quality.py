@@ -38,6 +38,7 @@ BIN = 0.5
 BIN_LIMIT = 8192
 #: What losing a good document weighs against keeping a bad one, when the cut is set.
 CARE = 20.0
+SLACK = 0.02
 
 
 def ngrams(texts: pa.Array, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -131,12 +132,13 @@ def how_many(scored: DataFrame, labels: DataFrame) -> int:
     good, bad = {}, {}
     for r in rows:
         (good if r["quality"] == 1 else bad)[r["bin"]] = r["n"]
-    best, cut, lost, gone = 0.0, None, 0, 0
+    gains, lost, gone = [], 0, 0
     for b in sorted({*good, *bad}):
-        gain = gone / max(1, sum(bad.values())) - CARE * lost / max(1, sum(good.values()))
-        if gain > best:
-            best, cut = gain, b
+        gains.append((gone / max(1, sum(bad.values())) - CARE * lost / max(1, sum(good.values())), b))
         lost, gone = lost + good.get(b, 0), gone + bad.get(b, 0)
+    best = max((g for g, _ in gains), default=0)
+    # the lowest cut that is nearly as good: unlabelled good documents spread wider than labelled ones
+    cut = min((b for g, b in gains if g >= best - SLACK), default=None) if best > 0 else None
     total = scored.count()
     return total if cut is None else scored.where(F.col("log_weight") >= F.lit(cut * BIN)).count()
 
