@@ -132,9 +132,11 @@ def how_many(scored: DataFrame, labels: DataFrame) -> int:
     good, bad = {}, {}
     for r in rows:
         (good if r["quality"] == 1 else bad)[r["bin"]] = r["n"]
-    gains, lost, gone = [], 0, 0
+    gains, lost, gone, below = [], 0, 0, None
     for b in sorted({*good, *bad}):
-        gains.append((gone / max(1, sum(bad.values())) - CARE * lost / max(1, sum(good.values())), b))
+        middle = b if below is None else (below + 1 + b) // 2  # of the gap without labels
+        gains.append((gone / max(1, sum(bad.values())) - CARE * lost / max(1, sum(good.values())), middle))
+        below = b
         lost, gone = lost + good.get(b, 0), gone + bad.get(b, 0)
     best = max((g for g, _ in gains), default=0)
     # the lowest cut that is nearly as good: unlabelled good documents spread wider than labelled ones
