@@ -1,0 +1,292 @@
+"""Sharding, PII, n-gram join, language identification, quality and the pipeline, with broken rows."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from kilnbase.llm import langid, ngram_join, pii, quality, sharding
+from kilnbase.llm.graph import components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n int, component long, token long, rank int, shard int"
+
+
+def frame(spark, rows, langs=None):
+    return spark.createDataFrame([(d, t, (langs or {}).get(d), "s", None if t is None else len(t), 1, 2, 3, 4, 5) for d, t in rows], SCHEMA)
+
+
+def prose(n: int, seed: int, words=("alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu nu xi omicron pi rho sigma tau upsilon").split()):
+    r = random.Random(seed)
+    return " ".join(r.choice(words) for _ in range(n))
+
+
+def near_rows():
+    rows = []
+    for k in range(30):
+        text = prose(60 + 10 * k, k)
+        rows.append((10 * k, text))
+        words = text.split()
+        words[len(words) // 2] = "changed"
+        rows += [(10 * k + 1, " ".join(words)), (10 * k + 2, " ".join([*words, "and", "more"])), (10 * k + 3, text.upper())]
+    rows += [(900, None), (901, ""), (902, " \t\n"), (903, "one"), (904, "ONE"), (905, "one two"), (906, None), (None, "one"), (907, "x" * 50_000), (908, "x y " * 30_000),
+             (909, "x y " * 29_000), (910, prose(80, 1) + " tail"), (910, prose(80, 2)), (0, rows[0][1]), (911, "one\xa0two three four"), (912, "ONE\xa0two\x0bthree\ffour")]
+    return rows
+
+
+def brute_groups(rows, size, percent):
+    fold = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(fold))
+        sets.append({tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set())
+    root = {d: d for d, _ in rows if d is not None}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (a, _) in enumerate(rows):
+        for j, (b, _) in enumerate(rows[:i]):
+            if a is not None and b is not None and sets[i] and sets[j]:
+                both = len(sets[i] & sets[j])
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    x, y = sorted((find(a), find(b)))
+                    root[y] = x
+    return sorted(((d, len(s), None if d is None else find(d)) for (d, _), s in zip(rows, sets)), key=repr)
+
+
+@pytest.mark.parametrize("size,percent,orders", [(4, 85, 3), (5, 80, 2), (2, 50, 3)])
+def test_ngram_join_equals_brute_force(spark, size, percent, orders):
+    rows = near_rows()
+    got = ngram_join.linked_groups(frame(spark, rows), size, percent, orders, bits=16)
+    assert got.columns == ["doc_id", "n_shingles", "component_id"]
+    assert sorted(map(tuple, got.collect()), key=repr) == brute_groups(rows, size, percent)
+
+
+def test_keep_one_keeps_one_of_each_group(spark):
+    rows = near_rows()
+    got = ngram_join.keep_one(frame(spark, rows), 4, 85)
+    assert got.columns == frame(spark, []).columns
+    want = [d for d, _, c in brute_groups(rows, 4, 85) if d == c and d is not None]
+    assert sorted(r["doc_id"] for r in got.collect() if r["doc_id"] is not None) == sorted(set(want))
+    assert [r["text"] for r in got.collect() if r["doc_id"] is None] == ["one"]
+    assert ngram_join.linked_groups(frame(spark, [])).count() == 0 == ngram_join.keep_one(frame(spark, [])).count()
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.sets(st.integers(0, 60), min_size=1), st.sets(st.integers(0, 60), min_size=1), st.integers(50, 100))
+def test_prefixes_of_similar_sets_meet_under_every_order(x, y, percent):
+    from kilnbase.llm.mph import mix
+
+    both = len(x & y)
+    if 100 * both < percent * len(x | y):
+        return
+    classes = np.zeros(1 << 16, np.uint8)
+    a, b = (np.sort(mix(np.array(sorted(s), np.uint64), 77)) for s in (x, y))
+    for order in range(4):
+        p, q = (ngram_join.prefix(s, classes[ngram_join.bucket(s, 16)], 16, order, percent) for s in (a, b))
+        assert set(p.tolist()) & set(q.tolist())
+
+
+def test_components(spark):
+    links = [(k, k + 1) for k in range(20, 60)] + [(3, 9), (9, 7), (5, 5), (7, 3), (100, 60)]
+    got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert got == {**{k: 20 for k in (*range(20, 61), 100)}, 3: 3, 7: 3, 9: 3}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("shards", [1, 5, 24])
+def test_sharding(spark, shards):
+    rows = [(k, prose(5, k % 60)) for k in range(300)] + [(1000 + k, "hot") for k in range(200)] + [(2000, None), (2001, None), (2002, ""), (None, "é"), (5, prose(5, 5))]
+    got = sharding.shard(frame(spark, rows), shards).collect()
+    want = Counter((d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t in rows)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
+    by = {}
+    for r in got:
+        assert r["law"] == "rows" and r["grown_shard"] is None and 0 <= r["shard"] < shards
+        by.setdefault(r["shard"], []).append(r["slot"])
+    counts = [len(by.get(s, [])) for s in range(shards)]
+    assert max(counts) - min(counts) <= 1
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert sharding.shard(frame(spark, [])).count() == 0
+
+
+def test_sharding_cuts_few_links(spark):
+    rows = [(k, prose(6, k // 3)) for k in range(900)] + [(5000 + k, prose(9, 5000 + k)) for k in range(600)]
+    of = {r["doc_id"]: r["shard"] for r in sharding.shard(frame(spark, rows), 6).collect()}
+    split = sum(len({of[3 * k], of[3 * k + 1], of[3 * k + 2]}) > 1 for k in range(300))
+    assert split <= 15
+
+
+def brute_spans(t):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    return [
+        [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)],
+        [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m.group().split("."))],
+        [m.span() for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= len(digits(m.group())) <= 19 and pii.luhn(digits(m.group()))],
+        [m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(digits(m.group())) <= 15],
+    ]
+
+
+PARTS = ["a", "b.", "@", "@x.y", "1", "22", "255", "256", ".", "-", " ", "+", "+1 (555) 123-4567", "(", ")", "é", "4111111111111111", "4111 1111-1111 1111", "0", "%", "1.2.3.4", "00001.2.3.4"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=25))
+def test_base_spans_equal_the_patterns(parts):
+    text = "".join(parts)
+    assert pii.base_spans(text) == brute_spans(text)
+
+
+def test_pii(spark):
+    secret = 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'
+    rows = [(k, f"mail me{k}@x.com or call +1 (555) 555-01{k:02d} card 4111111111111111 ip 10.0.0.{k} {secret} nr 00000000000 é") for k in range(60)]
+    rows += [(100, None), (101, ""), (102, "1" * 100_000), (103, "a" * 100_000 + "@"), (103, "b@c.de"), (None, "8.8.8.8")]
+    got = pii.detect(frame(spark, rows)).collect()
+    want = Counter()
+    for d, t in rows:
+        base = brute_spans(t or "")
+        text = ",".join(f"{k}:{a}:{b}" for k, s in zip(pii.BASE_KINDS, base) for a, b in s)
+        want[d, *map(len, base), hashlib.sha256(text.encode()).hexdigest()] += 1
+    assert Counter(tuple(r)[:6] for r in got) == want
+    for r in got:
+        listed = [s for s in r["spans"].split(",") if s]
+        assert sum(s.split(":")[0] in pii.BASE_KINDS for s in listed) == sum(tuple(r)[1:5])
+        if r["doc_id"] is not None and r["doc_id"] < 60:
+            assert any(s.startswith("secret:") for s in listed) and not any(s.startswith("number:") for s in listed)
+    masked = {r["doc_id"]: r for r in pii.redact(frame(spark, rows[:60] + rows[60:63])).collect()}
+    assert masked[3]["text"] == 'mail <EMAIL> or call <PHONE> card <CARD> ip <IP> token = "<SECRET>" nr 00000000000 é'
+    assert masked[3]["n_chars"] == len(masked[3]["text"]) and masked[100]["text"] is None and masked[101]["text"] == ""
+    assert pii.detect(frame(spark, [])).count() == 0 == pii.redact(frame(spark, [])).count()
+
+
+def test_reliabilities_find_the_better_labelers():
+    r, patterns = random.Random(1), Counter()
+    for _ in range(20_000):
+        y = r.random() < 0.4
+        votes = 0
+        for right in (0.95, 0.9, 0.6, 0.85):
+            v = 1 if r.random() < 0.3 else (2 if y == (r.random() < right) else 0)
+            votes = 3 * votes + v
+        patterns["number", votes] += 1
+    table, likely = pii.reliabilities(patterns)
+    right = [t[1, 2] / (t[1, 2] + t[1, 0]) for t in table]
+    assert right[0] > right[3] > right[2] and abs(right[0] - 0.95) < 0.04
+    assert likely["number", 80] > 0.95 and likely["number", 0] < 0.05
+
+
+LANGS = {"en": "the of and that with ing tion house water", "de": "der und nicht mit ung keit haus wasser", "fr": "le la des que ment eau maison avec", "es": "el los que con cion agua casa para", "xx": "zqk vzx kqq xzz qqv"}
+
+
+def test_language_id(spark):
+    rows, langs = [], {}
+    for k in range(400):
+        lang = list(LANGS)[k % 5]
+        rows.append((k, prose(25, k, LANGS[lang].split())))
+        langs[k] = lang
+    rows += [(1000, None), (1001, ""), (1002, "123 !!"), (1003, "le " * 40_000), (None, "der und das haus"), (5, rows[5][1])]
+    got = langid.predict(frame(spark, rows, langs)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        d = r["doc_id"]
+        assert r["held_out"] == (d is not None and zlib.crc32(str(d).encode()) % 4 == 2) and 0 <= r["score"] <= 1
+        if d in (1000, 1001, 1002):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+    held = [r for r in got if r["held_out"] and r["doc_id"] in langs]
+    assert len(held) > 50 and sum(r["lang_pred"] == langs[r["doc_id"]] for r in held) / len(held) > 0.98
+    kept = langid.keep_identified(frame(spark, rows, langs))
+    assert kept.columns == frame(spark, []).columns and kept.count() == len(rows) - 3
+    assert {r["lang_pred"] for r in langid.predict(frame(spark, rows)).collect()} == {"und"}
+    assert langid.predict(frame(spark, [], langs)).count() == 0
+
+
+def test_language_prediction_reads_text_only(spark):
+    rows = [(k, prose(20, k, list(LANGS.values())[k % 4].split())) for k in range(200)]
+    langs = {k: list(LANGS)[k % 4] for k, _ in rows}
+    out = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(frame(spark, rows, langs)).collect()}
+    changed = {k: ("de" if zlib.crc32(str(k).encode()) % 4 == 2 else v) for k, v in langs.items()}
+    assert {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(frame(spark, rows, changed)).collect()} == out
+
+
+def quality_rows():
+    good = [(k, prose(60, k)) for k in range(300)]
+    bad = [(1000 + k, " | ".join(prose(60, 9000 + k).split())) for k in range(60)]
+    return good + bad + [(5000, None), (5001, ""), (5002, "alpha " * 20_000), (None, prose(40, 3)), (7, prose(60, 7))]
+
+
+def test_quality(spark):
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(0, 300, 2)] + [(k, 0, 0) for k in range(1000, 1060, 2)] + [(None, 1, 0), (4, None, 0)], "doc_id long, quality int, toxic int")
+    rows = quality_rows()
+    got = quality.select(frame(spark, rows), labels).collect()
+    ids = Counter(r["doc_id"] for r in got)
+    assert all(ids[k] == 1 for k in range(300) if k != 7) and ids[7] == 2 and ids[None] == 1
+    assert not any(ids[k] for k in range(1000, 1060))
+    kept = quality.keep_selected(frame(spark, rows), labels)
+    assert kept.columns == frame(spark, []).columns and Counter(r["doc_id"] for r in kept.collect()) == ids
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.select(frame(spark, rows), none).count() == len(rows)
+    assert quality.select(frame(spark, []), labels).count() == 0
+
+
+def test_gumbel_top_k_is_exact(spark):
+    from kilnbase.llm import common
+
+    scored = common.written(spark.createDataFrame([(k % 700, float(k % 13)) for k in range(1000)], "doc_id long, log_weight double"), "scored")
+    every = sorted((r["gumbel_key"] for r in quality.gumbel_top_k(scored, 1000).collect()), reverse=True)
+    for k in (0, 1, 137, 999, 1000):
+        got = sorted((r["gumbel_key"] for r in quality.gumbel_top_k(scored, k, leaf=20).collect()), reverse=True)
+        assert got == every[:k]
+
+
+def test_gumbel_draws_follow_the_weights(spark):
+    from kilnbase.llm import common
+
+    scored = common.written(spark.range(20_000).selectExpr("id doc_id", "double(if(id % 2 = 0, ln(3), 0)) log_weight"), "scored")
+    drawn = [r["doc_id"] % 2 for r in quality.gumbel_top_k(scored, 400).collect()]
+    assert 0.68 < drawn.count(0) / 400 < 0.82
+
+
+def test_log_weights_equal_a_plain_count(spark):
+    rng = np.random.default_rng(0)
+    ratio = rng.standard_normal(1 << quality.BITS)
+    import pyarrow as pa
+
+    texts = ["a b c", "", "x!!y", None, "b c a b"]
+    got = [w for b in quality.weigher(frame(spark, []), ratio)([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["t"])]) for w in b["log_weight"].to_pylist()]
+    alone = {}
+    for t in ("a", "b", "c", "x", "!!", "y"):
+        alone[t] = next(quality.ngrams(pa.array([t])))[0][0]
+    pair = lambda s, t: next(quality.ngrams(pa.array([f"{s} {t}"])))[1][0]
+    for text, tokens in zip(texts, (["a", "b", "c"], [], ["x", "!!", "y"], [], ["b", "c", "a", "b"])):
+        want = sum(ratio[alone[t]] for t in tokens) + sum(ratio[pair(s, t)] for s, t in zip(tokens, tokens[1:]))
+        assert abs(got[texts.index(text)] - want) < 1e-6
+
+
+def test_pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    given, columns = docs, docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == columns
+        assert [t for _, t in out.dtypes] == [t for _, t in docs.dtypes], name
+        ids = [r["doc_id"] for r in out.select("doc_id").collect()]
+        assert len(ids) == len(set(ids)) and set(ids) <= {r["doc_id"] for r in docs.select("doc_id").collect()}
+        if name == "ngram_dedup":
+            rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+            assert sorted(ids) == sorted(d for d, _, c in brute_groups(rows, 5, 80) if d == c)
+        docs = spark.createDataFrame(out.collect(), out.schema)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in docs.collect()}
+    assert packed.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").isEmpty()
+    whole = corpus_pipeline.run(spark, sf_dir)
+    assert sorted(whole.select("doc_id", "piece", "ids_crc32").collect()) == sorted(packed.select("doc_id", "piece", "ids_crc32").collect())
+    assert given.count() >= docs.count()
