@@ -82,6 +82,23 @@ def agg_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("l_returnflag", (near("hll") & near("sketch") & (F.abs(F.col("median") - F.col("guess")) <= 1)).alias("plausible"))
 
 
+@query()
+def agg_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Theta and KLL sketches, a count-min sketch and approximate top-k; no other engine gives the same bits."""
+    return load(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
+        F.expr("theta_sketch_estimate(theta_sketch_agg(l_partkey))").alias("parts"),
+        F.expr("kll_sketch_get_quantile_bigint(kll_sketch_agg_bigint(l_partkey), 0.5D)").alias("median_part"),
+        F.length(F.expr("count_min_sketch(l_suppkey, 0.01D, 0.95D, 7)")).alias("sketch_bytes"),
+        F.expr("size(approx_top_k(l_linenumber, 3))").alias("heavy"))
+
+
+@query("SELECT r_name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def join_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hints by the DataFrame API. `region` has five rows at every scale, so it may be broadcast."""
+    nation, region = load(spark, sf_dir, "nation"), load(spark, sf_dir, "region")
+    return nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey).groupBy("r_name").agg(F.count("*").alias("n"))
+
+
 @query()
 def sample_bernoulli(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "orders").sample(fraction=0.1, seed=3).select("o_orderkey")

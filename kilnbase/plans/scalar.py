@@ -54,3 +54,26 @@ sql_query("fn_json", "events", """
 sql_query("fn_url", "pages", """
     SELECT page_id, try_parse_url(url, 'HOST') AS host, try_parse_url(url, 'QUERY') AS q, url_decode(url_encode(url)) = url AS back FROM pages""", """
     SELECT page_id, regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1) AS host, nullif(regexp_extract(url, '\\?([^#]*)', 1), '') AS q, true AS back FROM pages""".replace("\\\\", "\\"))
+sql_query("fn_more_string", "customer", """
+    SELECT c_custkey, initcap(lower(c_mktsegment)) AS title, left(c_name, 4) AS l4, right(c_name, 3) AS r3, startswith(c_name, 'Cust') AS sw, contains(c_name, '#') AS has,
+           position('#' IN c_name) AS p, lower(hex(c_mktsegment)) AS hx, base64(CAST(c_mktsegment AS BINARY)) AS b64, ltrim('0', split(c_name, '#')[1]) AS num, overlay(c_mktsegment PLACING 'X' FROM 2 FOR 1) AS ov FROM customer""", """
+    SELECT c_custkey, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS title, left(c_name, 4) AS l4, right(c_name, 3) AS r3, starts_with(c_name, 'Cust') AS sw, contains(c_name, '#') AS has,
+           instr(c_name, '#')::INT AS p, lower(hex(c_mktsegment)) AS hx, base64(c_mktsegment::BLOB) AS b64, ltrim(split_part(c_name, '#', 2), '0') AS num, c_mktsegment[1] || 'X' || c_mktsegment[3:] AS ov FROM customer""")
+sql_query("fn_more_math", "part", """
+    SELECT p_partkey, CAST(width_bucket(p_retailprice, 900, 2000, 11) AS BIGINT) AS wb, sign(p_retailprice - 1000) AS sg, round(log10(p_retailprice), 6) AS l10, round(exp(p_size / 50.0D), 6) AS ex,
+           round(pow(p_size, 1.5), 6) AS pw, ceil(p_retailprice) AS ce, p_size & 7 AS ba, p_size ^ 3 AS bx, hypot(p_size, 2) > 2 AS hy, pmod(-p_size, 7) AS pm FROM part""", """
+    SELECT p_partkey, (CASE WHEN p_retailprice < 900 THEN 0 WHEN p_retailprice >= 2000 THEN 12 ELSE floor((p_retailprice - 900) / 100) + 1 END)::BIGINT AS wb, sign(p_retailprice - 1000)::DOUBLE AS sg,
+           round(log10(p_retailprice), 6) AS l10, round(exp(p_size / 50.0::DOUBLE), 6) AS ex, round(pow(p_size, 1.5), 6) AS pw, ceil(p_retailprice)::BIGINT AS ce, p_size & 7 AS ba, xor(p_size, 3) AS bx,
+           sqrt(p_size * p_size + 4) > 2 AS hy, ((-p_size % 7) + 7) % 7 AS pm FROM part""")
+sql_query("fn_more_datetime", "events", """
+    SELECT event_id, CAST(hour(ts) AS BIGINT) AS h, CAST(quarter(ts) AS BIGINT) AS q, CAST(dayofyear(ts) AS BIGINT) AS doy, add_months(CAST(ts AS DATE), 1) AS am, make_date(2024, 2, 29) AS md,
+           CAST(date_trunc('HOUR', ts) AS TIMESTAMP_NTZ) AS th, next_day(CAST(ts AS DATE), 'MON') AS nd, to_date(date_format(ts, 'yyyyMMdd'), 'yyyyMMdd') AS td FROM events""", """
+    SELECT event_id, hour(ts) AS h, quarter(ts) AS q, dayofyear(ts) AS doy, (ts::DATE + INTERVAL 1 MONTH)::DATE AS am, make_date(2024, 2, 29) AS md,
+           date_trunc('hour', ts) AS th, ts::DATE + (8 - isodow(ts))::INT AS nd, ts::DATE AS td FROM events""")
+sql_query("fn_more_array", "nation", """
+    SELECT n_regionkey, array_sort(collect_set(n_nationkey)) AS ks, array_max(collect_list(n_nationkey)) AS mx, array_contains(collect_list(n_nationkey), 5) AS has5,
+           size(array_union(collect_list(n_nationkey), array(1, 2, 99))) AS u, array_position(array_sort(collect_list(n_nationkey)), max(n_nationkey)) AS pos,
+           aggregate(zip_with(array_sort(collect_list(n_nationkey)), sequence(1, 5), (a, b) -> a * b), 0, (s, x) -> s + x) AS dot FROM nation GROUP BY n_regionkey""", """
+    SELECT n_regionkey, list_sort(list(n_nationkey)) AS ks, max(n_nationkey) AS mx, list_contains(list(n_nationkey), 5) AS has5,
+           len(list_distinct(list_concat(list(n_nationkey), [1, 2, 99])))::INT AS u, list_position(list_sort(list(n_nationkey)), max(n_nationkey))::BIGINT AS pos,
+           list_sum(list_transform(list_zip(list_sort(list(n_nationkey)), range(1, 6)), lambda p: p[1] * p[2]))::INT AS dot FROM nation GROUP BY n_regionkey""")
