@@ -136,6 +136,8 @@ class PrefixText:
 
     def replace(self, start: int, stop: int, new: bytes) -> int:
         """Puts `new` for data[start:stop]; returns how many entries of the table were refilled."""
+        if not 0 <= start <= stop <= len(self.data):
+            raise ValueError(f"no stretch {start}:{stop} in {len(self.data)} bytes")
         old, shift = self.last, len(new) - (stop - start)
         self.data = self.data[:start] + new + self.data[stop:]
         self.last, same, end = old[:start], 0, start

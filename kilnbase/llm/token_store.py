@@ -10,7 +10,8 @@ bucket, bit, rank, fingerprint, one range read.
 Scale. One range shuffle of the texts; encoding and writing are one pass, a file for a task.
 File offsets, not texts, go to the index, whose buckets are of bounded size. The driver holds one
 row for each file. A file is renamed into place when complete, and only the files of the task
-attempts whose rows were committed are listed, so lost executors leave no partial store.
+attempts whose rows were committed are listed, so lost executors leave no partial store. `path` is a folder
+that all executors share: a plain path or a URI that pyarrow's file systems open (file, hdfs, s3, gs).
 
 Edge cases. Null or empty text: the end id alone. Null doc_id: stored first, readable by key
 None. Repeated rows: each is stored; keys (doc_id, 0), (doc_id, 1), ... Empty table: a store with
