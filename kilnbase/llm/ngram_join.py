@@ -42,6 +42,8 @@ from .mph import mix
 from .shingles import shingle_sets
 
 ORDERS = 3
+ROUNDS = 2
+HUBS = 3
 COUNT_BITS = 22
 BLOOM_WORDS = 1 << 19
 _BLOCK = 1 << 16
@@ -108,12 +110,6 @@ def _sketches(docs: DataFrame, size: int, percent: int, orders: int, bits: int,
     return docs.select("doc_id", "text").mapInArrow(make, f"doc_id long, n long, digest binary, p0 array<long>{more}")
 
 
-def _fits(percent: int) -> str:
-    """Length filter and place bound for a before b, at their shared shingle."""
-    need = f"ceil({percent} * (a_n + b_n) / {100 + percent}.0D - 1e-9)"
-    return f"100 * a_n >= {percent} * b_n and least(a_n - a_pos, b_n - b_pos) >= {need}"
-
-
 def linked_groups(docs: DataFrame, size: int = 4, percent: int = 85, orders: int = ORDERS, bits: int = COUNT_BITS) -> DataFrame:
     """`docs` (doc_id, text): doc_id, n_shingles, component_id for every row.
 
@@ -132,47 +128,85 @@ def linked_groups(docs: DataFrame, size: int = 4, percent: int = 85, orders: int
 
     listed = one.select("doc_id", "n", F.posexplode("p0").alias("pos", "token"))
     order = W.partitionBy("token").orderBy("n", "doc_id", "pos")
-    ahead = lambda c: F.lag(c).over(order).alias(f"a_{c}")
-    listed = listed.select("token", F.col("doc_id").alias("b_doc_id"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"),
-                           ahead("doc_id"), ahead("n"), ahead("pos"), F.lead("doc_id").over(order).alias("after"))
-    listed = common.written(listed.where("a_doc_id is not null or after is not null").drop("after"), "prefix-lists")
+    shared = F.lag("doc_id").over(order).isNotNull() | F.lead("doc_id").over(order).isNotNull()
+    listed = common.written(listed.withColumn("shared", shared).where("shared").drop("shared"), "prefix-lists")
 
-    beside = listed.where("a_doc_id <> b_doc_id and " + _fits(percent)).groupBy("a_doc_id", "b_doc_id").agg(F.count("*").alias("shared"))
-    first = beside.groupBy("b_doc_id").agg(F.max_by("a_doc_id", F.struct("shared", "a_doc_id")).alias("a_doc_id"))
-    first = first.select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b"))
-    links = common.written(_verified(docs, rows, first, size, percent, orders), "shingle-links")
-
-    # copies under one id hang together, ids of a class on its smallest
+    # ids of a class hang on its smallest
     copies = member.join(reps.where("copies > 1").select("digest", "rep"), "digest").where("doc_id <> rep")
-    links = links.unionAll(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    joined = common.written(components(links), "shingle-components")
-
-    second = common.written(_between_components(listed, joined, percent), "shingle-pairs")
-    if not second.isEmpty():
-        more = _verified(docs, rows, second, size, percent, orders)
-        links = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)
-        joined = common.written(components(links), "shingle-components")
+    joined = common.written(components(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), "shingle-components")
+    tried = None
+    for _ in range(ROUNDS):
+        listed = _mixed(listed, joined)
+        pairs = common.written(_with_hubs(listed, tried, percent), "shingle-pairs")
+        compared = pairs.count()
+        if not compared:
+            break
+        links = common.written(_verified(docs, rows, pairs, size, percent, orders), "shingle-links")
+        tried = pairs if tried is None else tried.unionAll(pairs)
+        joined = _grown(joined, links)
+        if links.count() * 50 < compared:
+            break
+    rest = common.written(_between_components(_mixed(listed, joined), tried, percent), "shingle-pairs")
+    if not rest.isEmpty():
+        joined = _grown(joined, _verified(docs, rows, rest, size, percent, orders))
     out = member.join(joined, member.doc_id == joined.node, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _between_components(listed: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of the prefix lists whose documents are in different components."""
-    nodes = joined.select(F.col("node").alias("b_doc_id"), "component")
-    placed = listed.select("token", "b_doc_id", "b_n", "b_pos").join(nodes, "b_doc_id", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "b_doc_id"))
-    mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    placed = common.written(placed.join(mixed, "token", "left_semi"), "mixed-lists")
+def _grown(joined: DataFrame, links: DataFrame) -> DataFrame:
+    stars = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return common.written(components(stars.unionAll(links)), "shingle-components")
+
+
+def _mixed(listed: DataFrame, joined: DataFrame) -> DataFrame:
+    """The prefix lists that hold documents of several components, with the component of each row."""
+    placed = listed.select("token", "doc_id", "n", "pos").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "doc_id"))
+    mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    return common.written(placed.join(mixed.select("token"), "token", "left_semi"), "mixed-lists")
+
+
+def _near(percent: int) -> str:
+    """Length filter and place bound for two rows x and y of a list, whichever is larger."""
+    need = f"ceil({percent} * (x_n + y_n) / {100 + percent}.0D - 1e-9)"
+    return f"100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n) and least(x_n - x_pos, y_n - y_pos) >= {need}"
+
+
+def _ordered(rows: DataFrame, *more: str) -> DataFrame:
+    """Pairs of rows x and y as (a, b), the smaller set first."""
+    first = F.struct("x_n", "x_doc_id") <= F.struct(F.col("y_n").alias("x_n"), F.col("y_doc_id").alias("x_doc_id"))
+    pick = lambda c, d: F.when(first, F.col(c)).otherwise(F.col(d))
+    return rows.select(pick("x_doc_id", "y_doc_id").alias("a"), pick("y_doc_id", "x_doc_id").alias("b"), *more)
+
+
+def _with_hubs(listed: DataFrame, tried: DataFrame | None, percent: int, hubs: int = HUBS) -> DataFrame:
+    """Pairs (a, b) of each document with hubs, of other components, of its lists.
+
+    At most `hubs` for a document, those it meets in most lists; the last round takes all other pairs.
+    """
+    degrees = listed.groupBy("doc_id").agg(F.count("*").alias("degree"))
+    known = listed.join(degrees, "doc_id")
+    hub = known.groupBy("token").agg(F.max_by(F.struct("doc_id", "n", "pos", "component"), F.struct("degree", "doc_id")).alias("hub"))
+    rows = listed.join(hub, "token").where("component <> hub.component").selectExpr(
+        "hub.doc_id x_doc_id", "hub.n x_n", "hub.pos x_pos", "doc_id y_doc_id", "n y_n", "pos y_pos").where(_near(percent))
+    counts = rows.groupBy("x_doc_id", "x_n", "y_doc_id", "y_n").agg(F.count("*").alias("lists"))
+    best = F.row_number().over(W.partitionBy("y_doc_id").orderBy(F.desc("lists"), "x_doc_id"))
+    pairs = _ordered(counts.withColumn("rank", best).where(F.col("rank") <= hubs)).distinct()
+    return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+
+
+def _between_components(placed: DataFrame, tried: DataFrame | None, percent: int) -> DataFrame:
+    """Candidate pairs (a no larger than b) of mixed lists whose documents are in different components."""
     # components of a list are paired first, so that members of one component never meet
-    spans = placed.groupBy("token", "component").agg(F.min("b_n").alias("low"), F.max("b_n").alias("high"))
-    left, right = (spans.select("token", *(F.col(c).alias(f"{side}_{c}") for c in ("component", "low", "high"))) for side in "xy")
+    spans = placed.groupBy("token", "component").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("reach"))
+    left, right = (spans.select("token", *(F.col(c).alias(f"{side}_{c}") for c in ("component", "low", "high", "reach"))) for side in "xy")
     meet = left.join(right, "token").where(
-        f"x_component < y_component and 100 * x_high >= {percent} * y_low and 100 * y_high >= {percent} * x_low").select("token", "x_component", "y_component")
-    side = lambda s, c: placed.select("token", F.col("component").alias(f"{c}_component"), F.col("b_doc_id").alias(f"{s}_doc_id"), F.col("b_n").alias(f"{s}_n"), F.col("b_pos").alias(f"{s}_pos"))
-    forth = meet.join(side("a", "x"), ["token", "x_component"]).join(side("b", "y"), ["token", "y_component"])
-    longer = F.when(F.expr("a_n <= b_n"), F.expr(f"({_fits(percent)})")).otherwise(
-        F.expr("(" + _fits(percent).replace("100 * a_n", "100 * b_n").replace(f"{percent} * b_n", f"{percent} * a_n") + ")"))
-    return forth.where(longer).select(F.least("a_doc_id", "b_doc_id").alias("a"), F.greatest("a_doc_id", "b_doc_id").alias("b")).distinct()
+        f"x_component < y_component and 100 * x_high >= {percent} * y_low and 100 * y_high >= {percent} * x_low "
+        f"and least(x_reach, y_reach) >= ceil({percent} * (x_low + y_low) / {100 + percent}.0D - 1e-9)").select("token", "x_component", "y_component")
+    side = lambda s: placed.select("token", F.col("component").alias(f"{s}_component"), *(F.col(c).alias(f"{s}_{c}") for c in ("doc_id", "n", "pos")))
+    forth = meet.join(side("x"), ["token", "x_component"]).join(side("y"), ["token", "y_component"]).where(_near(percent))
+    pairs = _ordered(forth).distinct()
+    return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
 
 
 def _bloom(ids: DataFrame) -> np.ndarray:
