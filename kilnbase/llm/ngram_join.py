@@ -202,9 +202,13 @@ def _between_components(placed: DataFrame, tried: DataFrame | None, percent: int
     left, right = (spans.select("token", *(F.col(c).alias(f"{side}_{c}") for c in ("component", "low", "high", "reach"))) for side in "xy")
     meet = left.join(right, "token").where(
         f"x_component < y_component and 100 * x_high >= {percent} * y_low and 100 * y_high >= {percent} * x_low "
-        f"and least(x_reach, y_reach) >= ceil({percent} * (x_low + y_low) / {100 + percent}.0D - 1e-9)").select("token", "x_component", "y_component")
+        f"and least(x_reach, y_reach) >= ceil({percent} * (x_low + y_low) / {100 + percent}.0D - 1e-9)").select("token", "x_component", "y_component", "y_low", "y_high", "y_reach")
     side = lambda s: placed.select("token", F.col("component").alias(f"{s}_component"), *(F.col(c).alias(f"{s}_{c}") for c in ("doc_id", "n", "pos")))
-    forth = meet.join(side("x"), ["token", "x_component"]).join(side("y"), ["token", "y_component"]).where(_near(percent))
+    # what a member of x must meet to fit any member of y
+    may = (f"100 * x_n >= {percent} * y_low and 100 * y_high >= {percent} * x_n "
+           f"and least(x_n - x_pos, y_reach) >= ceil({percent} * (x_n + y_low) / {100 + percent}.0D - 1e-9)")
+    one = meet.join(side("x"), ["token", "x_component"]).where(may).drop("y_low", "y_high", "y_reach")
+    forth = one.join(side("y"), ["token", "y_component"]).where(_near(percent))
     pairs = _ordered(forth).distinct()
     return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
 
