@@ -52,6 +52,21 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def normalized(text: Column) -> Column:
+    """Lower case, runs of white space as one space, none at the ends."""
+    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+
+
+def cosine(a: Column, b: Column) -> Column:
+    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def distance(a: Column, b: Column) -> Column:
+    """Euclidean distance in double precision."""
+    square = F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2))
+    return F.sqrt(F.aggregate(square, F.lit(0.0), lambda s, x: s + x))
+
+
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double precision."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

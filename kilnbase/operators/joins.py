@@ -11,7 +11,8 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts
     """Each left row with `right_id` of the last right row of its key at or before its time (before it, if `strict`).
 
     One union and one window over (key, time): one shuffle, no pair is ever made. Of right rows at one time the
-    greatest id counts. Left rows without a match are kept with a null.
+    greatest id counts. Left rows without a match are kept with a null. A key's rows are sorted in one task, which
+    spills: where one key holds a large share of all rows, split it by time first.
     """
     side = F.lit(1 if not strict else -1)
     rows = left.withColumns({"_ts": F.col(left_ts), "_side": side, "_rid": F.lit(None).cast(right.schema[right_id].dataType)})
@@ -41,11 +42,12 @@ def interval_join(left: DataFrame, right: DataFrame, by: str, left_ts: str, righ
     return left.join(later, (F.col(by) == F.col("_by")) & (F.col(right_ts) >= F.col(left_ts)) & (F.col(right_ts) <= F.col(left_ts) + bound)).drop("_by")
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], salts: int = 8) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], salts: int = 8) -> DataFrame:
     """Inner equi-join with the left side's keys dealt over `salts` tasks and the right side repeated for each.
 
-    For a left key that holds a large share of all rows; adaptive execution splits milder skew by itself.
+    For a left key that holds a large share of all rows; adaptive execution splits milder skew by itself. The salt is a
+    hash of the left columns `spread`, such as a row's id, so a task that is run again deals its rows as before.
     """
-    dealt = left.withColumn("_salt", (F.rand(7) * salts).cast("int"))
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     copied = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return dealt.join(copied, [*on, "_salt"]).drop("_salt")

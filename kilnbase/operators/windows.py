@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 def sessionize(events: DataFrame, by: str, ts: str, order: str, gap: str) -> DataFrame:
     """Sessions of each key: a new one starts where more than `gap` has passed since the row before.
 
-    Returns the key, session number from 1, first and last time and rows. Nulls in `ts` are left out.
+    Returns the key, session number from 1, first and last time and rows. Nulls in `ts` are left out. A key's rows
+    are sorted in one task, which spills.
     """
     w = W.partitionBy(by).orderBy(ts, order)
     previous = F.lag(ts).over(w)

@@ -45,11 +45,12 @@ def scan_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.read_lines(spark, path)
 
 
-@query("SELECT 1 AS files WHERE (SELECT count(*) FROM region) > 0")
+@query("SELECT string_agg(r_name || chr(10), '' ORDER BY r_name) AS content, sum(strlen(r_name) + 1)::BIGINT AS length FROM region")
 def scan_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text file of five lines, read back as bytes."""
     path = shared_path(spark, "region-file")
-    load(spark, sf_dir, "region").coalesce(1).write.parquet(path)
-    return formats.read_binary(spark, path).where("length > 0").agg(F.count("*").cast("int").alias("files"))
+    load(spark, sf_dir, "region").select("r_name").coalesce(1).sortWithinPartitions("r_name").write.text(path)
+    return formats.read_binary(spark, path).where("length > 0").select(F.decode("content", "UTF-8").alias("content"), "length")
 
 
 @query("SELECT d::DATE AS day, isodow(d)::INT AS weekday FROM range(TIMESTAMP '2024-01-01', TIMESTAMP '2025-01-01', INTERVAL 1 DAY) t(d)")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kilnbase.functions import text as T
+from kilnbase.operators.graph import page_rank
 from kilnbase.sources.catalog import load
 
 from .registry import query
@@ -86,3 +87,35 @@ def kb_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted edges from hosts to the site-relative targets that their pages link to."""
     pages = load(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[a-zA-Z]+://([^/?#:]+)", 1).alias("host"), F.explode(T.html_links(F.col("html"))).alias("href"))
     return pages.groupBy("host", "href").agg(F.count("*").alias("n"))
+
+
+@query(r"SELECT doc_id, md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS digest FROM documents")
+def kb_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalized(F.col("text"))).alias("digest"))
+
+
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
+    SELECT a.vec_id, round(list_inner_product(a.e, b.e), 6) AS dot, round(list_cosine_similarity(a.e, b.e), 6) AS cosine, round(list_distance(a.e, b.e), 6) AS l2
+    FROM v a JOIN v b ON b.vec_id = a.vec_id + 1""")
+def fn_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inner product, cosine and distance of each vector and the one of the next id."""
+    rows = load(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("a"))
+    after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b"))
+    a, b = F.col("a"), F.col("b")
+    return rows.join(after, "vec_id").select("vec_id", F.round(T.dot(a, b), 6).alias("dot"), F.round(T.cosine(a, b), 6).alias("cosine"), F.round(T.distance(a, b), 6).alias("l2"))
+
+
+_EDGES = """e AS MATERIALIZED (SELECT DISTINCT regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1) AS src, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS dst FROM pages),
+    n AS MATERIALIZED (SELECT src AS node FROM e UNION SELECT dst FROM e), d AS MATERIALIZED (SELECT src, count(*) AS out FROM e GROUP BY src),
+    r0 AS (SELECT node, 1.0::DOUBLE AS rank FROM n)"""
+_RANK_ROUNDS = 3
+_STEPS = "".join(f""", r{k} AS MATERIALIZED (SELECT n.node, 0.15 + 0.85 * coalesce(sum(r.rank / d.out), 0) AS rank FROM n LEFT JOIN (SELECT src, dst FROM e UNION SELECT dst, src FROM e) b ON b.dst = n.node
+    LEFT JOIN r{k - 1} r ON r.node = b.src LEFT JOIN (SELECT x AS src, count(*) AS out FROM (SELECT src AS x, dst AS y FROM e UNION SELECT dst, src FROM e) GROUP BY x) d ON d.src = b.src GROUP BY n.node)""" for k in range(1, _RANK_ROUNDS + 1))
+
+
+@query(f"WITH {_EDGES}{_STEPS} SELECT node, round(rank, 6) AS rank FROM r{_RANK_ROUNDS}")
+def kb_page_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank of hosts and link targets, links taken both ways, after three rounds from equal ranks."""
+    pages = load(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[a-zA-Z]+://([^/?#:]+)", 1).alias("src"), F.explode(T.html_links(F.col("html"))).alias("dst"))
+    links = pages.unionByName(pages.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    return page_rank(links, _RANK_ROUNDS).select("node", F.round("rank", 6).alias("rank"))

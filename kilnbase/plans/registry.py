@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kilnbase.sources.catalog import load
+from kilnbase.sources.catalog import register
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,8 +29,7 @@ def sql_query(name: str, tables: str, spark_sql: str, oracle: str | None = None)
     """Registers a query written in Spark SQL over `tables`; `oracle` where DuckDB words it differently."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        for table in tables.split():
-            load(spark, sf_dir, table).createOrReplaceTempView(table)
+        register(spark, sf_dir, *tables.split())
         return spark.sql(spark_sql)
 
     run.__name__ = name

@@ -81,8 +81,13 @@ sql_query("join_anti", "orders lineitem", "SELECT o_orderkey FROM orders LEFT AN
 sql_query("join_cross", "region nation", "SELECT r_name, n_name FROM region CROSS JOIN nation")
 sql_query("join_theta", "nation region", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey > r_regionkey")
 sql_query("join_self", "supplier", "SELECT a.s_suppkey AS x, b.s_suppkey AS y FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
-sql_query("join_broadcast_hint", "lineitem part", "SELECT /*+ MERGE(part) */ p_brand, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand",
+sql_query("join_merge_hint", "lineitem part", "SELECT /*+ MERGE(part) */ p_brand, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand",
           "SELECT p_brand, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand")
+# nation has 25 rows at every scale, so it may be broadcast
+sql_query("join_broadcast_hint", "customer nation", "SELECT /*+ BROADCAST(nation) */ n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
+          "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+sql_query("join_replicate_hint", "nation region", "SELECT /*+ SHUFFLE_REPLICATE_NL(region) */ n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey",
+          "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 sql_query("join_shuffle_hash_hint", "orders customer", "SELECT /*+ SHUFFLE_HASH(customer) */ c_mktsegment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment",
           "SELECT c_mktsegment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment")
 

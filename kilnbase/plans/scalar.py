@@ -77,3 +77,9 @@ sql_query("fn_more_array", "nation", """
     SELECT n_regionkey, list_sort(list(n_nationkey)) AS ks, max(n_nationkey) AS mx, list_contains(list(n_nationkey), 5) AS has5,
            len(list_distinct(list_concat(list(n_nationkey), [1, 2, 99])))::INT AS u, list_position(list_sort(list(n_nationkey)), max(n_nationkey))::BIGINT AS pos,
            list_sum(list_transform(list_zip(list_sort(list(n_nationkey)), range(1, 6)), lambda p: p[1] * p[2]))::INT AS dot FROM nation GROUP BY n_regionkey""")
+
+# fixed values: results that the Spark documentation states, for functions that the other engine lacks
+sql_query("fn_spark_only", "region", """
+    SELECT r_regionkey, soundex('Miller') AS sx, crc32('Spark') AS crc, xxhash64('Spark', array(123), 2) AS xx, months_between('1997-02-28 10:30:00', '1996-10-30') AS mb,
+           j.c0 AS ja, j.c1 AS jb FROM region LATERAL VIEW json_tuple('{"a":1, "b":2}', 'a', 'b') j AS c0, c1""",
+          "SELECT r_regionkey, 'M460' AS sx, 1557323817::BIGINT AS crc, 5602566077635097486 AS xx, 3.94959677::DOUBLE AS mb, '1' AS ja, '2' AS jb FROM region")

@@ -46,6 +46,12 @@ def st_static_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.run_append(E.with_customer(E.event_stream(spark, sf_dir), customers), "st-static")
 
 
+@query("SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
+def st_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A keyed table kept up to date with foreachBatch."""
+    return E.latest_by_user(E.event_stream(spark, sf_dir, files_per_batch=1), "st-upsert").select("user_id", "event_id")
+
+
 @query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
 def st_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arbitrary keyed state; the last totals of each user. The state store is RocksDB's, as it demands."""

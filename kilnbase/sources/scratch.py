@@ -8,7 +8,24 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+def shared_top(spark: SparkSession) -> str:
+    """`spark.checkpoint.dir`, else a folder set with `setCheckpointDir`; a session that has neither gets a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    kept = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not kept.isDefined():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kilnbase-"))
+        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return kept.get().rstrip("/")
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below `spark.checkpoint.dir`, or below a temporary folder where that is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kilnbase-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder."""
+    return f"{shared_top(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Asked of the file system that Spark reads the path with."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()

@@ -15,15 +15,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from kilnbase.operators.windows import first_by_key
 from kilnbase.sources.catalog import load
-from kilnbase.sources.scratch import shared_path
+from kilnbase.sources.scratch import is_folder, shared_path
 
-LATE = "40 days"  # the table is one file, so a batch may hold its whole span
+LATE = "40 days"  # a table's files come in no order of time, so nothing within its span may count as late
 
 
-def event_stream(spark: SparkSession, sf_dir: str, late: str = LATE) -> DataFrame:
+def event_stream(spark: SparkSession, sf_dir: str, late: str = LATE, files_per_batch: int | None = None) -> DataFrame:
+    """The events table as a stream, be it one file or a folder of files as Spark writes it."""
     schema = load(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    path = f"{sf_dir.rstrip('/')}/events.parquet"
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    # a stream reads folders: of a single file, the folder that holds it and the name alone
+    stream = reader.parquet(path) if is_folder(spark, path) else reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
@@ -94,6 +101,28 @@ class CountPerUser(StatefulProcessor):
         pass
 
 
+def latest_by_user(stream: DataFrame, name: str) -> DataFrame:
+    """Upsert: the last event of each user, merged batch by batch into a table of versions.
+
+    A batch reads the version before its own and writes its own, so one that is run again gives the same.
+    """
+    spark, out = stream.sparkSession, shared_path(stream.sparkSession, name)
+    last = [-1]
+
+    def merge(batch: DataFrame, number: int) -> None:
+        rows = batch.select("user_id", "event_id", "ts")
+        if number:
+            rows = rows.unionByName(batch.sparkSession.read.schema(rows.schema).parquet(f"{out}/version={number - 1}"))
+        first_by_key(rows, ["user_id"], F.struct(-F.unix_micros("ts"), -F.col("event_id"))).write.mode("overwrite").parquet(f"{out}/version={number}")
+        last[0] = number
+
+    query = stream.writeStream.outputMode("append").option("checkpointLocation", shared_path(spark, f"{name}-log")).trigger(availableNow=True).foreachBatch(merge).start()
+    query.awaitTermination()
+    if last[0] < 0:
+        return spark.createDataFrame([], stream.select("user_id", "event_id", "ts").schema)
+    return spark.read.parquet(f"{out}/version={last[0]}")
+
+
 def running_totals(stream: DataFrame) -> DataFrame:
     return stream.groupBy("user_id").transformWithStateInPandas(CountPerUser(), "user_id long, n long, total double", "Update", "None")
 

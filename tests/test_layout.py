@@ -4,13 +4,16 @@ import os
 import subprocess
 import sys
 
+import pytest
+
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 PROBE = """
 import sys
+GONE = set(sys.argv[1:])
 class Without:
     def find_spec(self, name, path=None, target=None):
-        if name == "corpus_pipeline" or name.startswith("kilnbase.llm"):
+        if any(name == g or name.startswith(g + ".") for g in GONE):
             raise ModuleNotFoundError(f"No module named {name!r}", name=name)
 sys.meta_path.insert(0, Without())
 import __spark_entry__ as e
@@ -19,8 +22,9 @@ assert not [n for n in e.queries() if n.startswith("op")]
 """
 
 
-def test_entry_imports_without_the_subpackage():
-    subprocess.run([sys.executable, "-c", PROBE], cwd=ROOT, check=True)
+@pytest.mark.parametrize("gone", [("corpus_pipeline", "kilnbase.llm"), ("regex",)])
+def test_entry_imports_without_the_subpackage_or_what_it_needs(gone):
+    subprocess.run([sys.executable, "-c", PROBE, *gone], cwd=ROOT, check=True)
 
 
 def test_nothing_else_imports_the_subpackage():

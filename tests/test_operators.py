@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from kilnbase.functions import text as T
-from kilnbase.operators import joins, windows
+from kilnbase.operators import graph, joins, windows
 
 
 def test_asof_ties_nulls_and_strict(spark):
@@ -48,7 +48,16 @@ def test_top_k_by_group_is_pruned_before_the_shuffle(spark):
 def test_first_by_key_and_salted_join(spark):
     df = spark.createDataFrame([(1, 5, "x"), (1, 3, "y"), (2, 9, "z")], "k int, v int, s string")
     assert sorted(windows.first_by_key(df, ["k"], F.col("v")).collect()) == [(1, 3, "y"), (2, 9, "z")]
-    assert joins.salted_join(df, df.select("k", F.col("s").alias("s2")), ["k"]).count() == 5
+    assert joins.salted_join(df, df.select("k", F.col("s").alias("s2")), ["k"], ["v"]).count() == 5
+    salts = joins.salted_join(spark.range(400).selectExpr("1 k", "id"), spark.createDataFrame([(1,)], "k int"), ["k"], ["id"])
+    assert "rand(" not in salts._jdf.queryExecution().analyzed().toString() and salts.count() == 400
+
+
+def test_page_rank_of_a_star_and_of_nothing(spark):
+    star = spark.createDataFrame([(k, 0) for k in (1, 2, 3)] + [(0, 1)], "src int, dst int")
+    got = {r["node"]: r["rank"] for r in graph.page_rank(star, 1).collect()}
+    assert {k: round(v, 6) for k, v in got.items()} == {0: 2.7, 1: 1.0, 2: 0.15, 3: 0.15}
+    assert graph.page_rank(star.limit(0), 2).count() == 0
 
 
 def test_chunks_cover_the_text(spark):
