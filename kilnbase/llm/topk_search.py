@@ -8,10 +8,11 @@ survivors are compacted and only they go on. Survivors of the last block are sco
 integers. Nothing is approximate: a pair goes only if its bound is below the k-th best.
 
 Scale. Candidates never move: each scan task keeps k rows for each query, and those few rows meet
-in one aggregation. Queries go out in blocks of at most `QUERY_BLOCK` rows, a bound on what is
-broadcast and on what the driver holds at a time; each block is one pass over the candidates.
+in one aggregation. Queries go out in blocks of some `QUERY_BLOCK` rows, one after the other: a block's
+rows are written and its broadcast is destroyed before the next is collected, which bounds what the
+driver holds. Each block is one pass over the candidates.
 
-Edge cases. Null vectors and vectors with null or non-finite components take no part, nor do rows
+Edge cases. Vectors without components score 0 with each other. Null vectors and vectors with null or non-finite components take no part, nor do rows
 with a null vec_id; vectors of different lengths don't meet. A query's own rows are those of its
 vec_id. Repeated candidate rows count each; of repeated query rows the smallest vector asks. Ties
 go to the smaller vec_id. Empty table: no rows. Further columns are ignored. Scores must fit
@@ -123,7 +124,7 @@ class BranchAndBound:
                     total += queries[q, d] * columns[d, c]
                 keep = total + self.rest[k][at][q] * rests[k][c] >= floor[q]
                 pairs, total = (q[keep], c[keep]), total[keep]
-        q, c = pairs
+        q, c = np.nonzero(np.ones_like(total, bool)) if pairs is None else pairs  # None: vectors without dimensions
         q, c = (x[self.ids[at][q] != own[c]] for x in (q, c))
         if len(q) > 8 * self.k * len(queries):  # the first tile has no bound: cut it before scoring
             q, c = self._shortlist(q, c, queries, columns)
@@ -162,10 +163,10 @@ def search(vectors: DataFrame, query_set: Column, k: int = 5, factor: float = 25
     queries = rows.where(query_set).groupBy("vec_id").agg(F.min("v").alias("v"))
     blocks = max(1, -(-queries.count() // max(1, query_block * 9 // 10)))
     dealt = common.written(queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))), "topk-queries")
-    parts = [_block(spark, rows, dealt.where(F.col("block") == b), k) for b in range(blocks)]
-    found = parts[0] if blocks == 1 else common.written(parts[0], "topk-part")
-    for part in parts[1:]:
-        found = found.unionAll(common.written(part, "topk-part"))
+    found = None
+    for b in range(blocks):
+        part = _block(spark, rows, dealt.where(F.col("block") == b), k)
+        found = part if found is None else found.unionAll(part)
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
@@ -187,7 +188,9 @@ def _block(spark, rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         for found in searches.values():
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in found.result()], names=["query_id", "vec_id", "score"])
 
-    return rows.mapInArrow(scan, "query_id long, vec_id long, score long")
+    out = common.written(rows.mapInArrow(scan, "query_id long, vec_id long, score long"), "topk-part")
+    shared.destroy()
+    return out
 
 
 def _by_length(ids, vectors) -> dict[int, tuple[np.ndarray, np.ndarray]]:

@@ -41,7 +41,7 @@ def brute_top_k(rows, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [8192, 2])
+@pytest.mark.parametrize("block", [8192, 4, 2])
 def test_top_k_equals_brute_force(spark, rows, block):
     got = topk_search.search(frame(spark, rows), F.col("vec_id") % 50 == 0, 5, 256.0, query_block=block)
     assert got.columns == ["query_id", "rank", "vec_id", "score"]
@@ -93,9 +93,9 @@ def brute_near(rows, least):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("cell_rows", [4096, 16])
-def test_near_duplicates_equal_brute_force(spark, rows, cell_rows):
-    got = embed_dedup.near_duplicates(frame(spark, rows), 0.93, cell_rows=cell_rows)
+@pytest.mark.parametrize("cell_bytes,grid", [(1 << 20, None), (1 << 20, 0), (1024, 0), (1 << 20, 3), (1024, 2)])
+def test_near_duplicates_equal_brute_force(spark, rows, cell_bytes, grid):
+    got = embed_dedup.near_duplicates(frame(spark, rows), 0.93, cell_bytes=cell_bytes, grid=grid)
     assert got.columns == ["vec_id", "n_links", "component_id", "kept"]
     assert sorted(map(tuple, got.collect()), key=repr) == brute_near(rows, 0.93)
 
@@ -104,6 +104,33 @@ def test_near_duplicates_of_nothing(spark):
     assert embed_dedup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_a_hot_cell_is_cut_and_a_grid_is_chosen_where_it_helps(spark):
+    rng = np.random.default_rng(4)
+    centre = np.repeat(np.eye(16), 60, 0)
+    spread = [(k, [float(v) for v in x], 0) for k, x in enumerate(np.float32(centre + 0.008 * rng.standard_normal(centre.shape)))]
+    alike = [(k, [float(v) for v in x], 0) for k, x in enumerate(np.float32(rng.standard_normal((300, 16))))]
+    members = lambda rows: frame(spark, rows).selectExpr("vec_id rep", "1L weight", "string(label) label", "embedding")
+    assert embed_dedup.plan(members(spread), 0.998) > 0 == embed_dedup.plan(members(alike), 0.93)
+    got = embed_dedup.near_duplicates(frame(spark, spread), 0.998, cell_bytes=1024)
+    assert sorted(map(tuple, got.collect()), key=repr) == brute_near(spread, 0.998)
+
+
+def test_one_block_of_queries_is_live_at_a_time(spark, rows, monkeypatch):
+    live, most, made = set(), [], type(spark.sparkContext).broadcast
+
+    def broadcast(self, value):
+        out = made(self, value)
+        live.add(id(out))
+        most.append(len(live))
+        end = out.destroy
+        out.destroy = lambda *a: (live.discard(id(out)), end(*a))
+        return out
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    got = topk_search.search(frame(spark, rows), F.col("vec_id") % 50 == 0, 5, 256.0, query_block=5)
+    assert got.count() and len(most) >= 3 and max(most) == 1
+
+
 def test_every_block_budget_sums_to_the_whole():
     hole = embed_dedup.Pigeonhole(10, 0.93, blocks=4)
     assert abs(sum(hole.budget) - 0.14) < 1e-6
@@ -112,5 +139,5 @@ def test_every_block_budget_sums_to_the_whole():
     x = hole.unit(np.vstack([x, x + 0.08 * rng.standard_normal(x.shape)]))
     near = x @ x.T >= 0.93
     for block in range(len(hole.blocks)):
-        near &= ~hole.within(x, x, block)
+        near &= ~hole.within(x.astype(np.float32), x.astype(np.float32), block)
     assert not near.any()
