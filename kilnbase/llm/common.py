@@ -2,31 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-_WRITTEN: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver see: `spark.checkpoint.dir`.
+from kilnbase.sources.scratch import shared_top
 
-    Only a session that names none (tests, notebooks) gets a temporary one.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if kept.isDefined():
-        return kept.get().rstrip("/")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kilnbase-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+_WRITTEN: list[str] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_top(spark)}/{name}-{uuid.uuid4().hex}"
     _WRITTEN.append(path)
     return path
 
@@ -59,28 +48,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of so few rows that a batch of long texts stays small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Bytes and rows of an Arrow batch: texts may be long.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
-def summed(parts: DataFrame, dtype: str) -> DataFrame:
-    """Adds up rows (name string, block int, part int, counts binary) by (name, block), as int64.
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches in rows and bytes, for an application whose session it is."""
+    for k, v in BATCH.items():
+        spark.conf.set(k, v)
 
-    In two levels, by `part` first, so that no task adds the counts of more than a share of all tasks.
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within, Arrow batches are bounded in rows and bytes; afterwards the caller's settings hold again.
+
+    A plan follows the settings of the moment it runs, so operators write their results within.
     """
+    before = {k: spark.conf.get(k, None) for k in BATCH}
+    bound_batches(spark)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def narrowed(counts) -> bytes:
+    """Counts as little-endian unsigned numbers of the least sufficient width, which comes first."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or int(counts.max(initial=0)) < 1 << 8 * w)
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def widened(data):
+    """The counts that `narrowed` wrote, as int64."""
     import numpy as np
-    import pyarrow as pa
 
-    def add(kind):
-        def run(table):
-            total = sum(np.frombuffer(c.as_buffer(), kind).astype(np.int64) for c in table["counts"])
-            return pa.table([table["name"].slice(0, 1), table["block"].slice(0, 1), pa.array([total.tobytes()], pa.binary())], names=["name", "block", "counts"])
+    raw = np.frombuffer(data, np.uint8)
+    return raw[1:].view(f"<u{raw[0]}").astype(np.int64)
+
+
+def summed(parts: DataFrame) -> DataFrame:
+    """Adds up rows (name string, block int, part int, counts binary) by (name, block); counts are `narrowed`.
+
+    In three levels, by `part`, by 256 parts, then all: no task adds
+    more than a few hundred rows, whatever the number of tasks that counted.
+    """
+    import pyarrow as pa
 
-        return run
+    def add(table):
+        total = None
+        for c in table["counts"]:
+            total = widened(c.as_buffer()) if total is None else total + widened(c.as_buffer())
+        names = [n for n in ("name", "block", "part") if n in table.column_names]
+        return pa.table([*(table[n].slice(0, 1) for n in names), pa.array([narrowed(total)], pa.binary())], names=[*names, "counts"])
 
-    schema = "name string, block int, counts binary"
-    return parts.groupBy("name", "block", "part").applyInArrow(add(dtype), schema).groupBy("name", "block").applyInArrow(add("<i8"), schema)
+    schema = "name string, block int, part int, counts binary"
+    fewer = parts.groupBy("name", "block", "part").applyInArrow(add, schema)
+    fewer = fewer.withColumn("part", F.expr("cast(part div 256 as int)")).groupBy("name", "block", "part").applyInArrow(add, schema)
+    return fewer.drop("part").groupBy("name", "block").applyInArrow(add, "name string, block int, counts binary")
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[str], name: str = "rank", rows: int | None = None, per_bucket: int = 50_000) -> DataFrame:
@@ -91,10 +116,10 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], name: str = "rank",
     same rows in `df` must come back when it is read twice: give it a written table.
     """
     from pyspark.sql import Window as W
-    from pyspark.sql import functions as F
 
     count = df.count() if rows is None else rows
-    buckets = max(1, -(-count // per_bucket))
+    least = min(count, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(1, least, -(-count // per_bucket))
     dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     sizes = dealt.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
     over = W.partitionBy(*keys).orderBy("_bucket") if keys else W.orderBy("_bucket")
