@@ -3,21 +3,24 @@
 Method. If two sets have Jaccard similarity t or more, then under any order of all shingles their
 prefixes of n - ceil(t n) + 1 shingles meet. One order drives the join: pairs that share a
 prefix shingle, pass the length filter and the bound that the shingle's places set. Such a pair must
-also share prefix shingles under every further order before its sets are compared. All orders put
-shingles of low document frequency first and break ties by different hashes. The frequency comes
-from a count table of fixed size, which may take several shingles together; any order is a
-correct one, so the result is exact.
+also share prefix shingles under every further order before its sets are compared. Every order has a
+count table of its own, under a hash of its own: shingles of rare buckets come first, ties by another
+hash. What is truly frequent comes last under each; what only shares a bucket with it does so under
+one. Any order is a correct one, so the result is exact whatever the tables hold.
 
 Groups. Only connections are asked for, so not all pairs of a large group are made. Equal sets are one
-class. In the first round each class is compared with one class: its neighbour, by size, in
-the lists of its prefix shingles, the one it shares most lists with. In the second round,
-every remaining candidate pair between different components of the first is compared. Pairs
-inside a component need no comparison, and all others get one: no link is lost.
-
-Scale. Shingles of all texts are never shuffled, only prefixes are (15 % at 0.85). Sets are made again
-from the texts for the few documents that reach comparison, found with a Bloom filter of fixed size.
-Component links and pairs are tables; the driver holds the count table and the Bloom filter, both
-of fixed size.
+class. In up to `ROUNDS` rounds each document is compared with at most `HUBS` hubs of its prefix lists,
+those it shares most lists with. In the last round every remaining candidate pair between
+different components is compared. Pairs inside a component need no comparison, and all others get
+one: no link is lost.
+
+Scale. Shingles of all texts are never shuffled, only one order's prefixes are (15 % at 0.85). A list keeps the
+rows that a neighbour by size could link with, so shingles that meet by chance go at once. Sets and
+further prefixes are made again from the texts for the few documents that reach comparison: they are
+found with a Bloom filter sized by their number, or by a join beyond `BLOOM_IDS`. With S shingles in all
+a table of 2^b buckets tells shingles of more than some 3 sqrt(S / 2^b) documents from the rest.
+The driver holds the count tables, of fixed size, and the Bloom filter, of bounded size. Component
+links and pairs are tables.
 
 Edge cases. Null, empty or blank texts: no shingles, linked with nothing. Fewer words than a shingle:
 the whole sequence is the only one. Rows that share a doc_id are one node. Null doc_id: linked with
@@ -32,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,70 +48,69 @@ from .shingles import shingle_sets
 ORDERS = 3
 ROUNDS = 2
 HUBS = 3
-COUNT_BITS = 22
-BLOOM_WORDS = 1 << 19
+COUNT_BITS = 20
+#: Most ids that go into a Bloom filter, of 16 bits each.
+BLOOM_IDS = 1 << 23
 _BLOCK = 1 << 16
 
 
-def bucket(shingles: np.ndarray, bits: int) -> np.ndarray:
-    return (shingles >> np.uint64(64 - bits)).astype(np.int64)
+def bucket(shingles: np.ndarray, order: int, bits: int) -> np.ndarray:
+    return (mix(shingles, 200 + order) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def frequency_classes(docs: DataFrame, size: int, bits: int = COUNT_BITS) -> np.ndarray:
-    """For each bucket of shingles the bit length of its count of documents."""
+def frequency_ranks(docs: DataFrame, size: int, orders: int = ORDERS, bits: int = COUNT_BITS) -> np.ndarray:
+    """For each order and bucket, the rank of the bucket by its count of documents, in 2^16 steps."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.uint32)
+        total = np.zeros((orders, 1 << bits), np.uint32)
         for batch in batches:
             for shingles in shingle_sets(batch.column(0), size):
-                np.add.at(total, bucket(shingles, bits), np.uint32(1))
-        blocks = [(k, total[k << 16 : (k + 1) << 16]) for k in range(max(1, len(total) // _BLOCK))]
-        kept = [(k, np.minimum(b, 65535).astype("<u2").tobytes()) for k, b in blocks if b.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.int32()), pa.array([b for _, b in kept], pa.binary())], names=["block", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c.as_buffer(), "<u2").astype(np.uint64) for c in table["counts"])
-        length = np.ceil(np.log2(total.astype(np.float64) + 1)).astype(np.uint8)
-        return pa.table({"block": table["block"].slice(0, 1), "counts": pa.array([length.tobytes()], pa.binary())})
-
-    parts = docs.select("text").mapInArrow(count, "block int, counts binary")
-    out = np.zeros(1 << bits, np.uint8)
-    for row in parts.groupBy("block").applyInArrow(add, "block int, counts binary").collect():
-        length = np.frombuffer(row["counts"], np.uint8)
-        out[row["block"] << 16 : (row["block"] << 16) + len(length)] = length
-    return out
+                for k in range(orders):
+                    np.add.at(total[k], bucket(shingles, k, bits), np.uint32(1))
+        kept = [(str(k), b, total[k, b * _BLOCK : (b + 1) * _BLOCK]) for k in range(orders) for b in range(-(-(1 << bits) // _BLOCK))]
+        kept = [(k, b, common.narrowed(x)) for k, b, x in kept if x.any()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in kept], pa.string()), pa.array([k[1] for k in kept], pa.int32()),
+             pa.array([TaskContext.get().partitionId() // 256] * len(kept), pa.int32()), pa.array([k[2] for k in kept], pa.binary())],
+            names=["name", "block", "part", "counts"])
+
+    parts = docs.select("text").mapInArrow(count, "name string, block int, part int, counts binary")
+    out = np.zeros((orders, 1 << bits), np.uint32)
+    for row in common.summed(parts).collect():
+        counts = np.minimum(common.widened(row["counts"]), (1 << 32) - 1)
+        out[int(row["name"]), row["block"] * _BLOCK : row["block"] * _BLOCK + len(counts)] = counts
+    ranks = np.empty(out.shape, np.uint16)
+    for k, counts in enumerate(out):  # equal counts share a rank; ranks are spread over 16 bits
+        ranks[k] = np.searchsorted(np.sort(counts), counts) * 65535 // (1 << bits)
+    return ranks
 
 
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def prefix(shingles: np.ndarray, classes: np.ndarray, bits: int, order: int, percent: int) -> np.ndarray:
-    """The first shingles under an order: by frequency class, then by a hash of the order's own."""
-    rank = (classes.astype(np.uint64) << np.uint64(57)) | (mix(shingles, 100 + order) >> np.uint64(7))
+def prefix(shingles: np.ndarray, ranks: np.ndarray, bits: int, order: int, percent: int) -> np.ndarray:
+    """The first shingles under an order: by the rank of their bucket, then by a hash of the order's own."""
+    key = (ranks[bucket(shingles, order, bits)].astype(np.uint64) << np.uint64(48)) | (mix(shingles, 100 + order) >> np.uint64(16))
     n = prefix_length(len(shingles), percent)
-    return shingles[np.argsort(rank, kind="stable")[:n]]
+    at = np.argpartition(key, n - 1)[:n] if n < len(key) else np.arange(len(key))
+    return shingles[at[np.lexsort((shingles[at], key[at]))]]
 
 
-def _sketches(docs: DataFrame, size: int, percent: int, orders: int, bits: int, classes) -> DataFrame:
-    """doc_id, n, digest of the set, first prefix, and for each further order its prefix as 32-bit hashes."""
+def _sketches(docs: DataFrame, size: int, percent: int, bits: int, ranks) -> DataFrame:
+    """doc_id, n, digest of the set, prefix under the first order."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = classes.value
+        table = ranks.value[0]
         for batch in batches:
-            n, digest, first, others = [], [], [], [[] for _ in range(orders - 1)]
+            n, digest, first = [], [], []
             for s in shingle_sets(batch.column(1), size):
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                known = table[bucket(s, bits)]
-                first.append(prefix(s, known, bits, 0, percent).view(np.int64))
-                for k, out in enumerate(others, 1):
-                    out.append((prefix(s, known, bits, k, percent) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
+                first.append(prefix(s, table, bits, 0, percent).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(first, pa.list_(pa.int64())),
-                 *(pa.array(o, pa.list_(pa.int32())) for o in others)],
-                names=["doc_id", "n", "digest", "p0", *(f"p{k}" for k in range(1, orders))])
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(first, pa.list_(pa.int64()))],
+                names=["doc_id", "n", "digest", "p0"])
 
-    more = "".join(f", p{k} array<int>" for k in range(1, orders))
-    return docs.select("doc_id", "text").mapInArrow(make, f"doc_id long, n long, digest binary, p0 array<long>{more}")
+    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, n long, digest binary, p0 array<long>")
 
 
 def linked_groups(docs: DataFrame, size: int = 4, percent: int = 85, orders: int = ORDERS, bits: int = COUNT_BITS) -> DataFrame:
@@ -116,41 +119,61 @@ def linked_groups(docs: DataFrame, size: int = 4, percent: int = 85, orders: int
     Two documents link when 100 * intersection >= percent * union of their shingle sets.
     """
     spark = docs.sparkSession
-    common.small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    classes = spark.sparkContext.broadcast(frequency_classes(docs, size, bits))
-    rows = common.written(_sketches(docs, size, percent, orders, bits, classes), "shingle-prefixes")
+    with common.small_batches(spark):
+        docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+        ranks = spark.sparkContext.broadcast(frequency_ranks(docs, size, orders, bits))
+        rows = common.written(_sketches(docs, size, percent, bits, ranks), "shingle-prefixes")
+
+        member = rows.select("doc_id", "n", "digest")
+        reps = rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+        reps = common.written(reps, "shingle-classes")
+        # ids of a class hang on its smallest
+        copies = member.join(reps.where("copies > 1").select("digest", "rep"), "digest").where("doc_id <> rep")
+        joined = common.written(components(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), "shingle-components")
+        listed = common.written(_lists(rows, reps, percent), "prefix-lists")
+
+        compare = lambda pairs: _verified(docs, pairs, size, percent, orders, bits, ranks)
+        tried = None
+        for _ in range(ROUNDS):
+            listed = _mixed(listed, joined)
+            pairs = common.written(_with_hubs(listed, tried, percent), "shingle-pairs")
+            compared = pairs.count()
+            if not compared:
+                break
+            links = compare(pairs)
+            tried = pairs if tried is None else tried.unionAll(pairs)
+            joined = _grown(joined, links)
+            if links.count() * 50 < compared:
+                break
+        listed = _mixed(listed, joined)
+        rest = common.written(_between_components(listed, tried, percent), "shingle-pairs")
+        common.discard(spark, listed)
+        if not rest.isEmpty():
+            joined = _grown(joined, compare(rest))
+        # the prefixes have served: what stays is a narrow table
+        out = common.written(member.select("doc_id", "n").join(joined, member.doc_id == joined.node, "left").select(
+            "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")), "shingle-groups")
+        for table in (rows, reps, joined):
+            common.discard(spark, table)
+        ranks.destroy()
+    return out
 
-    member = rows.select("doc_id", "n", "digest")
-    reps = rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    reps = common.written(reps, "shingle-classes")
-    one = rows.where("n > 0").join(reps.select("digest", "rep"), "digest").where("doc_id = rep").drop("digest", "rep")
 
-    listed = one.select("doc_id", "n", F.posexplode("p0").alias("pos", "token"))
+def _lists(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """token, doc_id, n, pos: the prefix lists of one document for each class.
+
+    In a list by size, a row stays if its next smaller or next larger neighbour passes the length filter: if
+    neither does, no row of the list does. In a list of two the place bound must hold as well.
+    """
+    one = rows.where("n > 0").join(reps.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"])
+    one = one.select("doc_id", F.col("n").cast("int").alias("n"), F.posexplode("p0").alias("pos", "token"))
     order = W.partitionBy("token").orderBy("n", "doc_id", "pos")
-    shared = F.lag("doc_id").over(order).isNotNull() | F.lead("doc_id").over(order).isNotNull()
-    listed = common.written(listed.withColumn("shared", shared).where("shared").drop("shared"), "prefix-lists")
-
-    # ids of a class hang on its smallest
-    copies = member.join(reps.where("copies > 1").select("digest", "rep"), "digest").where("doc_id <> rep")
-    joined = common.written(components(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), "shingle-components")
-    tried = None
-    for _ in range(ROUNDS):
-        listed = _mixed(listed, joined)
-        pairs = common.written(_with_hubs(listed, tried, percent), "shingle-pairs")
-        compared = pairs.count()
-        if not compared:
-            break
-        links = common.written(_verified(docs, rows, pairs, size, percent, orders), "shingle-links")
-        tried = pairs if tried is None else tried.unionAll(pairs)
-        joined = _grown(joined, links)
-        if links.count() * 50 < compared:
-            break
-    rest = common.written(_between_components(_mixed(listed, joined), tried, percent), "shingle-pairs")
-    if not rest.isEmpty():
-        joined = _grown(joined, _verified(docs, rows, rest, size, percent, orders))
-    out = member.join(joined, member.doc_id == joined.node, "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    here = F.struct("n", "pos")
+    seen = one.withColumns({"x": F.lag(here).over(order), "y": F.lead(here).over(order)})
+    seen = seen.withColumns({"xx": F.lag("n", 2).over(order), "yy": F.lead("n", 2).over(order)})
+    two = "((x is null and yy is null) or (y is null and xx is null))"
+    fits = lambda s: f"({s} is not null and 100 * least(n, {s}.n) >= {percent} * greatest(n, {s}.n) and (not {two} or least(n - pos, {s}.n - {s}.pos) >= {_need(percent, 'n', f'{s}.n')}))"
+    return seen.where(f"{fits('x')} or {fits('y')}").select("token", "doc_id", "n", "pos")
 
 
 def _grown(joined: DataFrame, links: DataFrame) -> DataFrame:
@@ -163,13 +186,19 @@ def _mixed(listed: DataFrame, joined: DataFrame) -> DataFrame:
     placed = listed.select("token", "doc_id", "n", "pos").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     placed = placed.withColumn("component", F.coalesce("component", "doc_id"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    return common.written(placed.join(mixed.select("token"), "token", "left_semi"), "mixed-lists")
+    out = common.written(placed.join(mixed.select("token"), "token", "left_semi"), "mixed-lists")
+    common.discard(listed.sparkSession, listed)
+    return out
+
+
+def _need(percent: int, x: str, y: str) -> str:
+    """Shingles that sets of these sizes must share."""
+    return f"ceil({percent} * ({x} + {y}) / {100 + percent}.0D - 1e-9)"
 
 
 def _near(percent: int) -> str:
     """Length filter and place bound for two rows x and y of a list, whichever is larger."""
-    need = f"ceil({percent} * (x_n + y_n) / {100 + percent}.0D - 1e-9)"
-    return f"100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n) and least(x_n - x_pos, y_n - y_pos) >= {need}"
+    return f"100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n) and least(x_n - x_pos, y_n - y_pos) >= {_need(percent, 'x_n', 'y_n')}"
 
 
 def _ordered(rows: DataFrame, *more: str) -> DataFrame:
@@ -202,75 +231,99 @@ def _between_components(placed: DataFrame, tried: DataFrame | None, percent: int
     left, right = (spans.select("token", *(F.col(c).alias(f"{side}_{c}") for c in ("component", "low", "high", "reach"))) for side in "xy")
     meet = left.join(right, "token").where(
         f"x_component < y_component and 100 * x_high >= {percent} * y_low and 100 * y_high >= {percent} * x_low "
-        f"and least(x_reach, y_reach) >= ceil({percent} * (x_low + y_low) / {100 + percent}.0D - 1e-9)").select("token", "x_component", "y_component", "y_low", "y_high", "y_reach")
+        f"and least(x_reach, y_reach) >= {_need(percent, 'x_low', 'y_low')}").select("token", "x_component", "y_component", "y_low", "y_high", "y_reach")
     side = lambda s: placed.select("token", F.col("component").alias(f"{s}_component"), *(F.col(c).alias(f"{s}_{c}") for c in ("doc_id", "n", "pos")))
     # what a member of x must meet to fit any member of y
     may = (f"100 * x_n >= {percent} * y_low and 100 * y_high >= {percent} * x_n "
-           f"and least(x_n - x_pos, y_reach) >= ceil({percent} * (x_n + y_low) / {100 + percent}.0D - 1e-9)")
+           f"and least(x_n - x_pos, y_reach) >= {_need(percent, 'x_n', 'y_low')}")
     one = meet.join(side("x"), ["token", "x_component"]).where(may).drop("y_low", "y_high", "y_reach")
     forth = one.join(side("y"), ["token", "y_component"]).where(_near(percent))
     pairs = _ordered(forth).distinct()
     return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
 
 
-def _bloom(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size over a column `id`: 64-bit words, one bit in each of two words."""
+def _bloom(ids: DataFrame, count: int) -> np.ndarray:
+    """A Bloom filter over a column `id` of 16 bits for each: 64-bit words, one bit in each of two words."""
+    size = 1 << max(10, (count // 4).bit_length())
     hashes = ids.select(F.explode(F.array(F.xxhash64("id"), F.xxhash64("id", F.lit(1)))).alias("h"))
-    words = hashes.select(F.pmod(F.shiftright("h", 6), F.lit(BLOOM_WORDS)).alias("w"), F.expr("shiftleft(1L, cast(h & 63L as int))").alias("bit"))
+    words = hashes.select(F.pmod(F.shiftright("h", 6), F.lit(size)).alias("w"), F.expr("shiftleft(1L, cast(h & 63L as int))").alias("bit"))
     table = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(BLOOM_WORDS, np.int64)
+    out = np.zeros(size, np.int64)
     out[table["w"].to_numpy()] = table["bits"].to_numpy()
     return out.view(np.uint64)
 
 
-def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """Shingle sets of the documents with these ids, and of a few that the Bloom filter lets pass."""
-    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(ids))
+def _candidate_texts(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, np.ndarray | None]:
+    """The documents to look at for these ids, and the Bloom filter that tells most others apart."""
+    known = docs.where("doc_id is not null")
+    count = ids.count()
+    if count > BLOOM_IDS:
+        return known.join(ids, known.doc_id == ids.id, "left_semi"), None
+    return known, _bloom(ids, count)
+
+
+def _sets(docs: DataFrame, ids: DataFrame, size: int, percent: int, orders: int, bits: int, ranks) -> DataFrame:
+    """Shingle sets, and prefixes under the further orders as 32-bit hashes, of the documents with these ids
+    and of a few that the Bloom filter lets pass."""
+    docs, table = _candidate_texts(docs, ids)
+    bloom = docs.sparkSession.sparkContext.broadcast(table)
+    further = [f"p{k}" for k in range(1, orders)]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = bloom.value
         for batch in batches:
             passed = np.ones(batch.num_rows, bool)
-            for name in ("h0", "h1"):
+            for name in ("h0", "h1") if words is not None else ():
                 h = batch.column(name).to_numpy()
-                passed &= (words[(h >> 6) % BLOOM_WORDS] >> (h & 63).astype(np.uint64)) & np.uint64(1) > 0
+                passed &= (words[(h >> 6) % len(words)] >> (h & 63).astype(np.uint64)) & np.uint64(1) > 0
             kept = batch.filter(pa.array(passed))
-            sets = [s.view(np.int64) for s in shingle_sets(kept.column("text"), size)]
-            yield pa.RecordBatch.from_arrays([kept.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+            for a in range(0, kept.num_rows, 64):  # sets of a few texts at a time
+                part = kept.slice(a, 64)
+                sets = list(shingle_sets(part.column("text"), size))
+                others = [[(prefix(s, ranks.value[k], bits, k, percent) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32) for s in sets] for k in range(1, orders)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), *(pa.array(o, pa.list_(pa.int32())) for o in others)],
+                    names=["doc_id", "shingles", *further])
 
-    hashed = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h0"), F.xxhash64("doc_id", F.lit(1)).alias("h1"))
-    return hashed.mapInArrow(make, "doc_id long, shingles array<long>")
+    hashed = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h0"), F.xxhash64("doc_id", F.lit(1)).alias("h1"))
+    return hashed.mapInArrow(make, "doc_id long, shingles array<long>" + "".join(f", {p} array<int>" for p in further))
 
 
-def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, size: int, percent: int, orders: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int, orders: int, bits: int, ranks) -> DataFrame:
     """Those of the pairs (a, b) that meet under every further order and then in fact."""
-    others = [f"p{k}" for k in range(1, orders)]
-    side = lambda s: rows.where("n > 0").select(F.col("doc_id").alias(s), *(F.col(p).alias(f"{s}_{p}") for p in others))
-    meet = pairs.join(side("a"), "a").join(side("b"), "b")
-    for p in others:
+    spark = docs.sparkSession
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = common.written(_sets(docs, ids, size, percent, orders, bits, ranks), "shingle-sets")
+    side = lambda s, *names: sets.select(F.col("doc_id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in names))
+    further = [f"p{k}" for k in range(1, orders)]
+    meet = pairs.join(side("a", *further), "a").join(side("b", *further), "b")
+    for p in further:
         meet = meet.where(F.arrays_overlap(f"a_{p}", f"b_{p}"))
     meet = common.written(meet.select("a", "b").distinct(), "shingle-candidates")
-    ids = meet.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = common.written(_sets(docs, ids, size), "shingle-sets")
-    whole = meet.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(
-        sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    same = F.size(F.array_intersect("x", "y"))
-    return whole.where(100 * same >= percent * (F.size("x") + F.size("y") - same)).select("a", "b").distinct()
+    whole = meet.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
+    same = F.size(F.array_intersect("a_shingles", "b_shingles"))
+    out = whole.where(100 * same >= percent * (F.size("a_shingles") + F.size("b_shingles") - same)).select("a", "b").distinct()
+    out = common.written(out, "shingle-links")
+    for table in (sets, meet):
+        common.discard(spark, table)
+    return out
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each linked group stays, that of the smallest doc_id; columns stay.
+    """One document of each linked group stays, that of the smallest doc_id; columns stay, whatever their names.
 
     Of rows that share a doc_id the one with the smallest text stays. Rows without a doc_id all stay.
     """
-    groups = common.written(linked_groups(docs, size, percent), "shingle-groups")
-    known = groups.where("doc_id is not null")
-    gone = known.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    out = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    again = known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_again"))
-    if again.isEmpty():
-        return out
-    marked = out.join(again, F.col("doc_id").cast("long") == F.col("_again"), "left")
-    first = F.row_number().over(W.partitionBy("_again").orderBy(F.col("text").asc_nulls_last()))
-    several = marked.where("_again is not null").withColumn("_nth", first).where("_nth = 1").drop("_nth", "_again")
-    return marked.where("_again is null").drop("_again").unionByName(several)
+    groups = linked_groups(docs, size, percent).where("doc_id is not null")
+    odd = groups.groupBy(F.col("doc_id").alias("odd_id")).agg(
+        F.max((F.col("doc_id") != F.col("component_id")).cast("int")).alias("gone"), F.count("*").alias("n")).where("gone = 1 or n > 1")
+    odd = common.written(odd.select("odd_id", "gone"), "shingle-odd-ids")
+    place = [f"c{k}" for k in range(len(docs.columns))]
+    at = dict(zip(docs.columns, place, strict=True))
+    given = docs.toDF(*place).withColumn("id", F.col(at["doc_id"]).cast("long"))
+    out = given.join(odd, F.col("id") == F.col("odd_id"), "left_anti")
+    if not odd.where("gone = 0").isEmpty():
+        several = given.join(odd.where("gone = 0").select("odd_id"), F.col("id") == F.col("odd_id"), "left_semi")
+        first = F.row_number().over(W.partitionBy("id").orderBy(F.col(at["text"]).asc_nulls_last()))
+        out = out.unionByName(several.withColumn("nth", first).where("nth = 1").drop("nth"))
+    return out.select(*place).toDF(*docs.columns)
