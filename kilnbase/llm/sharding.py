@@ -1,15 +1,16 @@
 """Sharding by balanced label propagation, under the law `rows`: shard sizes differ by one row at most.
 
 Method. Documents of equal text are linked. Linked documents begin in shards drawn by hash; in each round every
-document is pulled to the shard where most of its neighbours are, and moves if that shard's quota has room. Rooms are
-given out by strength of pull, whole groups of equal hash at a time. Cut links fall from round to round; rounds
-end when nothing moves. Documents without links, and any that a full shard could not keep, then fill the shards up
-to their exact quotas. A group of more than an eighth of a shard is placed beforehand: whole where a shard has room for
-it, else over as few shards as can hold it. There are at most eight such groups for each shard.
+document is pulled to the shard, of those with room, where most of its neighbours are, if more are there than in
+its own, and moves if that shard's quota has room. Rooms are given out by strength of pull, whole hash classes at
+a time; a group is of one class, but one of more than an eighth of a shard is spread over all classes, so
+that part of it may move and it fills shard after shard. Each move puts a group's documents closer together, so
+rounds come to an end: when nothing moves, classes are made finer, and when still nothing moves
+propagation is over. Documents without links, and any that a full shard could not keep, then fill the
+shards up to their exact quotas.
 
 Scale. Rounds work on ids of linked documents only, never on texts. The driver sees counts by shard, pull and
-hash class, of fixed size, and the few large groups. Ranks are counted in buckets, so neither a shard nor a group
-is ever one task.
+hash class, of bounded size. Ranks are counted in buckets, so neither a shard nor a group is ever one task.
 
 Edge cases. Null text: size 8, checksum 0, equal to other null texts alone. Repeated rows are documents of equal
 text. Null doc_ids are kept. Fewer rows than shards: some shards are empty. Empty table: no rows. Further columns
@@ -23,11 +24,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-ROUNDS = 6
-CLASSES = 64
+#: Hash classes that room is given out by, coarse first.
+CLASSES = (64, 512)
 
 
-def shard(docs: DataFrame, shards: int = 24, rounds: int = ROUNDS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     """`docs` (doc_id, text): doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law)."""
     spark = docs.sparkSession
     text = F.col("text").cast("string")
@@ -39,59 +40,26 @@ def shard(docs: DataFrame, shards: int = 24, rounds: int = ROUNDS) -> DataFrame:
     total = base.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
 
-    groups = common.written(base.groupBy("gid").agg(F.count("*").alias("n")).where("n > 1"), "sharding-groups")
-    limit = max(1, total // shards // 8)
-    large = [(r["gid"], r["n"]) for r in groups.where(F.col("n") > limit).collect()]
-    room, stretches = _place_large(large, quota)
-
-    small = groups.where(F.col("n") <= limit).select("gid")
-    state = base.join(small, "gid", "left_semi").withColumn("shard", _drawn(room))
-    state = common.written(state, "sharding-state")
-    for k in range(rounds):
-        state, moved = _round(state, room, k)
-        if not moved:
-            break
+    groups = common.written(base.groupBy("gid").agg(F.count("*").alias("n")).where("n > 1").select("gid"), "sharding-groups")
+    state = common.written(base.join(groups, "gid", "left_semi").withColumn("shard", _drawn(quota)), "sharding-state")
+    state, loads = propagate(state, quota)
 
     order = ["gid", "doc_id"]
-    loads = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     loose = base.join(groups, "gid", "left_anti")
-    if any(n > room[s] for s, n in loads.items()):
+    if any(n > quota[s] for s, n in loads.items()):
         sat = common.written(common.ranked(state, ["shard"], order, "rank"), "sharding-ranks")
-        fits = F.col("rank") < F.array(*(F.lit(r) for r in room))[F.col("shard")]
+        fits = F.col("rank") < F.array(*(F.lit(q) for q in quota))[F.col("shard")]
         loose = loose.unionByName(sat.where(~fits).select(loose.columns))
         state = sat.where(fits).drop("rank")
-        loads = {s: min(n, room[s]) for s, n in loads.items()}
-    rest = [r - loads.get(s, 0) for s, r in enumerate(room)]
+    rest = [max(0, q - loads.get(s, 0)) for s, q in enumerate(quota)]
     loose = common.written(loose, "sharding-loose")
     filled = common.ranked(loose, [], order, "rank").withColumn("shard", _stretch(F.col("rank"), rest)).drop("rank")
 
-    out = state.unionByName(filled)
-    if large:
-        table = F.broadcast(spark.createDataFrame(stretches, "gid string, low long, high long, shard int"))
-        ids = [g for g, _ in large]
-        pinned = common.written(base.where(F.col("gid").isin(ids)), "sharding-large")
-        pinned = common.ranked(pinned, ["gid"], ["doc_id", "size"], "rank")
-        out = out.unionByName(pinned.join(table, "gid").where("rank >= low and rank < high").drop("rank", "low", "high"))
-    out = common.written(out, "sharding-placed")
+    out = common.written(state.select(*base.columns, "shard").unionByName(filled), "sharding-placed")
     out = common.ranked(out, ["shard"], order, "slot", rows=total)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def _place_large(large: list[tuple[str, int]], quota: list[int]) -> tuple[list[int], list[tuple[str, int, int, int]]]:
-    """Room left in each shard, and which ranks of each large group go where."""
-    room, stretches = list(quota), []
-    for gid, n in sorted(large, key=lambda g: (-g[1], g[0])):
-        at = 0
-        while at < n:
-            fitting = [s for s in range(len(room)) if room[s] >= n - at]
-            s = min(fitting, key=lambda s: (room[s], s)) if fitting else max(range(len(room)), key=lambda s: (room[s], -s))
-            part = min(room[s], n - at)
-            stretches.append((gid, at, at + part, s))
-            room[s] -= part
-            at += part
-    return room, stretches
-
-
 def _stretch(position, sizes: list[int]):
     """The number of the stretch, of these sizes, that a position from 0 lies in."""
     out, end = F.lit(len(sizes) - 1), sum(sizes)
@@ -101,33 +69,75 @@ def _stretch(position, sizes: list[int]):
     return out.cast("int")
 
 
-def _drawn(room: list[int]):
-    """A shard drawn by hash, in proportion to its room."""
+def _drawn(quota: list[int]):
+    """A shard drawn by hash, in proportion to its quota."""
     grain = 1 << 20
-    whole = max(1, sum(room))
-    cuts = [grain * sum(room[: s + 1]) // whole for s in range(len(room))]
+    whole = max(1, sum(quota))
+    cuts = [grain * sum(quota[: s + 1]) // whole for s in range(len(quota))]
     sizes = [b - a for a, b in zip([0, *cuts], cuts, strict=False)]
     return _stretch(F.pmod(F.xxhash64("doc_id", "gid", F.lit(3)), F.lit(grain)), sizes)
 
 
-def _round(state: DataFrame, room: list[int], k: int) -> tuple[DataFrame, int]:
-    """One round of propagation: the new state and how many documents moved."""
+def propagate(state: DataFrame, quota: list[int]) -> tuple[DataFrame, dict[int, int]]:
+    """`state` (gid, doc_id, shard, ...) after the last round, and the rows in each shard."""
+    spark, columns, written = state.sparkSession, state.columns, state
+    limit = max(1, max(quota) // 8)
+    loads = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    finer = iter(CLASSES)
+    classes, k = next(finer), 0
+    while classes:
+        free = [max(0, q - loads.get(s, 0)) for s, q in enumerate(quota)]
+        pulled = common.written(_pulled(state, free, limit, classes, k), "sharding-pulled")
+        granted, moves = _grants(pulled.where("target is not null").groupBy("target", "strength", "class", "shard").agg(F.count("*").alias("n")).collect(), free)
+        common.discard(spark, written)
+        written, k = pulled, k + 1
+        state = pulled.select(columns)
+        if not granted:
+            classes = next(finer, None)
+            continue
+        for (source, target), n in moves.items():
+            loads[source] -= n
+            loads[target] = loads.get(target, 0) + n
+        table = F.broadcast(spark.createDataFrame(granted, "target int, strength int, class int").withColumn("granted", F.lit(True)))
+        after = pulled.join(table, ["target", "strength", "class"], "left")
+        state = after.withColumn("shard", F.when(F.col("granted"), F.col("target")).otherwise(F.col("shard"))).select(columns)
+    return state, loads
+
+
+def _pulled(state: DataFrame, free: list[int], limit: int, classes: int, k: int) -> DataFrame:
+    """`state` with the shard that pulls each document, null if none does, how strongly, and the document's class."""
+    # a group's shards in a fixed order: by its rows there, then by hash
+    place = F.struct("n", F.xxhash64("gid", "shard").alias("hash"), "shard")
+    roomy = F.array(*(F.lit(f > 0) for f in free))[F.col("shard")]
     cells = state.groupBy("gid", "shard").agg(F.count("*").alias("n"))
-    pull = cells.groupBy("gid").agg(
-        F.max_by("shard", F.struct("n", F.xxhash64("gid", "shard", F.lit(k)))).alias("target"), F.max("n").alias("strength"))
-    pulled = state.join(pull, "gid").withColumn("strength", F.least(F.floor(F.log2("strength")), F.lit(40)).cast("int"))
-    pulled = common.written(pulled.withColumn("class", F.pmod(F.xxhash64("gid", F.lit(k)), F.lit(CLASSES)).cast("int")), "sharding-pulled")
-    wants = pulled.where("shard <> target").groupBy("target", "strength", "class").agg(F.count("*").alias("n")).collect()
-    loads = {r["shard"]: r["n"] for r in pulled.groupBy("shard").agg(F.count("*").alias("n")).collect()}
-    free = {s: room[s] - loads.get(s, 0) for s in range(len(room))}
-    granted, moved = [], 0
-    for r in sorted(wants, key=lambda r: (r["target"], -r["strength"], r["class"])):
-        if r["n"] <= free[r["target"]]:
-            free[r["target"]] -= r["n"]
-            granted.append((r["target"], r["strength"], r["class"]))
-            moved += r["n"]
-    if not moved:
-        return pulled.drop("target", "strength", "class"), 0
-    table = F.broadcast(state.sparkSession.createDataFrame(granted, "target int, strength int, class int").withColumn("granted", F.lit(True)))
-    after = pulled.join(table, ["target", "strength", "class"], "left").withColumn("shard", F.when(F.col("granted"), F.col("target")).otherwise(F.col("shard")))
-    return common.written(after.drop("target", "strength", "class", "granted"), "sharding-state"), moved
+    pull = cells.groupBy("gid").agg(F.max(F.when(roomy, place)).alias("best"), F.collect_list(place).alias("places"), F.sum("n").alias("rows"))
+    rows = state.join(pull.withColumnRenamed("gid", "pull_gid"), F.col("gid") == F.col("pull_gid"))
+    own = F.filter("places", lambda p: p["shard"] == F.col("shard"))[0]
+    kind = F.when(F.col("rows") > limit, F.xxhash64("gid", "doc_id", F.lit(k))).otherwise(F.xxhash64("gid", F.lit(k)))
+    return rows.select(
+        *state.columns, F.when(own < F.col("best"), F.col("best.shard")).alias("target"),
+        F.least(F.floor(F.log2("best.n")), F.lit(40)).cast("int").alias("strength"), F.pmod(kind, F.lit(classes)).cast("int").alias("class"))
+
+
+def _grants(wants: list, free: list[int]) -> tuple[list[tuple[int, int, int]], dict[tuple[int, int], int]]:
+    """The (target, strength, class) that may move, the strongest first, and how many rows go from where to where."""
+    cells: dict[tuple[int, int, int], list] = {}
+    for r in wants:
+        cells.setdefault((r["target"], r["strength"], r["class"]), []).append((r["shard"], r["n"]))
+    left, granted, moves = list(free), [], {}
+    for cell in sorted(cells, key=lambda c: (c[0], -c[1], c[2])):
+        n = sum(n for _, n in cells[cell])
+        if n <= left[cell[0]]:
+            left[cell[0]] -= n
+            granted.append(cell)
+            for source, m in cells[cell]:
+                moves[source, cell[0]] = moves.get((source, cell[0]), 0) + m
+    return granted, moves
+
+
+def cut(placed: DataFrame, docs: DataFrame) -> DataFrame:
+    """What `shard` could not keep together: rows, groups, groups in more than one shard, rows outside their group's main shard."""
+    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("group"), F.col("text").isNull().alias("absent"))
+    cells = placed.join(texts, "doc_id").groupBy("group", "absent", "shard").agg(F.count("*").alias("n"))
+    groups = cells.groupBy("group", "absent").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("shards")).where("n > 1")
+    return groups.agg(F.sum("n").alias("rows"), F.count("*").alias("groups"), F.count(F.when(F.col("shards") > 1, 1)).alias("cut_groups"), F.sum(F.col("n") - F.col("most")).alias("cut_rows"))
