@@ -58,7 +58,9 @@ GIVEN_NAMES = (
 ISSUERS = ("4", "34", "35", "37", "51", "52", "53", "54", "55", "6011", "65")
 TOP_DOMAINS = "com org net edu gov de fr es uk io info".split()
 COUNTRY_CODES = ("1", "33", "34", "39", "41", "43", "44", "49")
-SECRET_WORDS = ("token", "password", "passwd", "secret", "api")
+SECRET_WORDS = ("token", "password", "passwd", "secret", "api", "key")
+SECRET_PREFIXES = ("AKIA", "ghp_", "gho_", "sk-", "xoxb-", "xoxp-", "eyJ", "AIza")
+PLACEHOLDERS = ("changeme", "example", "placeholder", "password", "undefined", "redacted", "required", "your")
 FOR_WORDS = frozenset("call phone tel telephone fax mobile mail email e-mail contact card visa mastercard iban name mr mrs ms dr herr frau monsieur madame signed token password secret login user ip host".split())
 AGAINST_WORDS = frozenset("version isbn issn order page figure table chapter section rfc build release no nr".split())
 NAME = re.compile(r"\b(?:" + "|".join(GIVEN_NAMES) + r")\x20[A-Z][\w'-]{1,30}")
@@ -186,11 +188,12 @@ def gazetteer_labeler(kind: str, span: str, before: list[str]) -> int:
         return -1 if span.startswith(("0.", "127.")) else 0
     if kind == "name":
         return 1
-    return 1 if any(w.startswith(SECRET_WORDS) for w in before[-2:]) else 0
+    return -1 if span.lower().startswith(PLACEHOLDERS) else 1 if span.startswith(SECRET_PREFIXES) else 0
 
 
 def context_labeler(kind: str, span: str, before: list[str]) -> int:
-    words = set(before)
+    # the word that makes a secret a candidate says nothing more about it
+    words = {w for w in before if kind != "secret" or not w.startswith(SECRET_WORDS)}
     return 1 if words & FOR_WORDS else -1 if words & AGAINST_WORDS else 0
 
 
@@ -218,11 +221,21 @@ def describe(text: str, kind: str, a: int, b: int) -> tuple[int, list[int]]:
 
 # --- estimation ----------------------------------------------------------------------------------
 
+def _no_worse_than_chance(votes: np.ndarray) -> None:
+    """Of a labeler's distributions [other or personal, vote]: votes for must not be rarer, and votes against not more
+    frequent, on personal spans than on others; where they are, the vote tells nothing. So no labeler is turned round."""
+    if votes[1, 2] < votes[0, 2]:
+        votes[:, 2] = votes[:, 2].mean()
+    if votes[1, 0] > votes[0, 0]:
+        votes[:, 0] = votes[:, 0].mean()
+    votes[:, 1] = 1 - votes[:, 0] - votes[:, 2]
+
+
 def reliabilities(patterns: dict[tuple[str, int], int], rounds: int = 100) -> tuple[np.ndarray, dict[tuple[str, int], float]]:
     """Expectation maximisation over counts of (kind, vote pattern).
 
     Each labeler has, for personal and for other spans, a distribution over its three votes, shared by
-    all kinds; each kind has its own share of personal spans. Returns the distributions
+    all kinds; each kind has its own share of personal spans. No labeler is taken to be worse than chance. Returns the distributions
     [labeler, personal or not, vote] and the likelihood that a pattern is personal.
     """
     keys = sorted(patterns)
@@ -237,8 +250,8 @@ def reliabilities(patterns: dict[tuple[str, int], int], rounds: int = 100) -> tu
                 hit = votes[:, j] == v
                 table[j, 1, v] = 1 + (n * personal)[hit].sum()
                 table[j, 0, v] = 1 + (n * (1 - personal))[hit].sum()
-            # a labeler is taken to be no worse than chance
             table[j] /= table[j].sum(1, keepdims=True)
+            _no_worse_than_chance(table[j])
         share = np.array([(1 + (n * personal)[kinds == k].sum()) / (2 + n[kinds == k].sum()) for k in range(len(KINDS))])
         logs = np.log(share[kinds]) - np.log(1 - share[kinds])
         for j in range(len(LABELERS)):
@@ -264,6 +277,7 @@ def span_classifier(features: list[list[int]], target: np.ndarray, steps: int =
     return weights
 
 
+FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
 CANDIDATES = "doc_id long, base string, kinds array<int>, starts array<int>, ends array<int>, is_base array<boolean>, votes array<int>, features array<array<int>>"
 
 
@@ -299,10 +313,11 @@ def learn(table: DataFrame, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
     if not patterns:
         return np.zeros(FEATURES)
     _, likely = reliabilities(patterns)
-    rate = sample_rows / sum(patterns.values())
-    draw = F.pmod(F.xxhash64("doc_id", "starts"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = spans.where(draw < rate).select("doc_id", "starts", "kinds", "votes", "features").toArrow()
-    drawn = drawn.sort_by([("doc_id", "ascending"), ("starts", "ascending")]).to_pydict()
+    # some more than asked for are drawn by hash, and those of least hashes stay
+    rate = (sample_rows + 8 * sample_rows**0.5) / sum(patterns.values())
+    draw = F.pmod(F.xxhash64("doc_id", "starts", "features"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = spans.withColumn("draw", draw).where(F.col("draw") < rate).orderBy("draw", "doc_id", "starts").limit(sample_rows)
+    drawn = drawn.select("starts", "kinds", "votes", "features").toArrow().to_pydict()
     target = np.array([likely[KINDS[k], v] for k, v in zip(drawn["kinds"], drawn["votes"], strict=True)])
     return span_classifier(drawn["features"], target)
 
@@ -312,26 +327,31 @@ def accepted(weights: np.ndarray, features: list[int]) -> bool:
 
 
 def detect(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """`docs` (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
-    common.small_batches(docs.sparkSession)
-    table = _candidate_table(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(learn(table, sample_rows))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = shared.value
-        for batch in batches:
-            row = batch.to_pydict()
-            counts: dict[str, list[int]] = {k: [] for k in BASE_KINDS}
-            digests, spans = [], []
-            for base, kinds, starts, ends, is_base, features in zip(row["base"], row["kinds"], row["starts"], row["ends"], row["is_base"], row["features"], strict=True):
-                digests.append(hashlib.sha256(base.encode()).hexdigest())
-                for k, kind in enumerate(BASE_KINDS):
-                    counts[kind].append(sum(1 for x, own in zip(kinds, is_base, strict=True) if own and x == k))
-                spans.append(listed([(KINDS[k], a, b) for k, a, b, own, f in zip(kinds, starts, ends, is_base, features, strict=True) if own or accepted(weights, f)]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(counts[k], pa.int64()) for k in BASE_KINDS), pa.array(digests, pa.string()), pa.array(spans, pa.string())],
-                                             names=["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"])
-
-    return table.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    """`docs` (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans (spans of all kinds)."""
+    with common.small_batches(docs.sparkSession):
+        table = _candidate_table(docs)
+        shared = docs.sparkSession.sparkContext.broadcast(learn(table, sample_rows))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            weights = shared.value
+            for batch in batches:
+                row = batch.to_pydict()
+                counts: dict[str, list[int]] = {k: [] for k in BASE_KINDS}
+                digests, spans, sizes = [], [], []
+                for base, kinds, starts, ends, is_base, features in zip(row["base"], row["kinds"], row["starts"], row["ends"], row["is_base"], row["features"], strict=True):
+                    digests.append(hashlib.sha256(base.encode()).hexdigest())
+                    for k, kind in enumerate(BASE_KINDS):
+                        counts[kind].append(sum(1 for x, own in zip(kinds, is_base, strict=True) if own and x == k))
+                    chosen = [(KINDS[k], a, b) for k, a, b, own, f in zip(kinds, starts, ends, is_base, features, strict=True) if own or accepted(weights, f)]
+                    spans.append(listed(chosen))
+                    sizes.append(len(chosen))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), *(pa.array(counts[k], pa.int64()) for k in BASE_KINDS), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(sizes, pa.int64())],
+                    names=["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "n_spans"])
+
+        out = common.written(table.mapInArrow(run, FOUND), "pii-spans")
+        common.discard(docs.sparkSession, table)
+    return out
 
 
 def mask(text: str | None, weights: np.ndarray) -> str | None:
@@ -351,20 +371,18 @@ def mask(text: str | None, weights: np.ndarray) -> str | None:
 
 
 def redact(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """All documents and columns, personal spans masked in `text`; `n_chars`, if there, follows."""
-    common.small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(learn(_candidate_table(docs), sample_rows))
-    place = [f"c{k}" for k in range(len(docs.columns))]
-    text = place[docs.columns.index("text")]
-    schema = ", ".join(f"{p} {t}" for p, (_, t) in zip(place, docs.dtypes, strict=True))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k = batch.schema.get_field_index(text)
-            masked = pa.array([mask(t.as_py(), shared.value) for t in batch.column(k)], batch.schema.field(k).type)
-            yield batch.set_column(k, batch.schema.field(k), masked)
-
-    out = docs.toDF(*place).mapInArrow(run, schema).toDF(*docs.columns)
+    """All documents and columns, whatever their names, personal spans masked in `text`; `n_chars`, if there, follows."""
+    with common.small_batches(docs.sparkSession):
+        table = _candidate_table(docs)
+        shared = docs.sparkSession.sparkContext.broadcast(learn(table, sample_rows))
+        common.discard(docs.sparkSession, table)
+
+    @F.arrow_udf("string")
+    def masked(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in texts:
+            yield pa.array([mask(t.as_py(), shared.value) for t in part], pa.string())
+
+    out = docs.withColumn("text", masked(F.col("text").cast("string")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast(dict(docs.dtypes)["n_chars"]))
     return out
