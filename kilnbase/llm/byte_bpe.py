@@ -9,7 +9,7 @@ longest token has.
 
 Texts are first cut by the vocabulary's pattern and each match is encoded on its own. No match runs on over a
 space that is followed by other than white space, so texts are cut at such spaces and the ids of
-each part are remembered, within a bound on their number.
+each part are remembered, within a bound on bytes. Texts under any other pattern than `KNOWN` are not cut.
 
 Scale. One pass without shuffle. The vocabulary is read once per worker.
 
@@ -32,10 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .caches import LONGEST, Remembered
 
-CACHE_PARTS = 500_000
-CACHE_PIECES = 900_000
+#: Bytes that remembered parts of texts and prefixes of pieces may take in a worker, and the number of remembered pairs.
+PARTS_ROOM = 128 << 20
+PIECES_ROOM = 128 << 20
 CACHE_PAIRS = 500_000
+#: Fixed value: the pattern that the cut at spaces holds for.
+KNOWN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space for the pattern, the Unicode property. Fixed values.
 WHITE = "\\t\\n\\x0b\\f\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -157,13 +161,11 @@ class _Pieces:
     """Ids of pieces and of their prefixes, as little-endian uint32.
 
     A prefix's ids are those of the shorter prefix before its last token, and the last token; pieces
-    share prefixes, so the table is one for all pieces of a worker, up to a bound on its size.
+    share prefixes, so the table is one for all pieces of a worker, up to a bound on its bytes.
     """
 
-    LONG = 64
-
-    def __init__(self, bpe: PrefixBPE, limit: int):
-        self.bpe, self.limit, self.table = bpe, limit, {}
+    def __init__(self, bpe: PrefixBPE, room: int):
+        self.bpe, self.table = bpe, Remembered(lambda data: None, room)
         self.packed = {rank: rank.to_bytes(4, "little") for rank in bpe.spelling}
         self.last = {ids: rank for rank, ids in self.packed.items()}
 
@@ -171,7 +173,7 @@ class _Pieces:
         data = piece.encode()
         found = self.table.get(data)
         if found is None:
-            if len(data) > self.LONG:
+            if len(data) > LONGEST:
                 return b"".join(map(self.packed.__getitem__, self.bpe.encode(data)))
             found = self._prefix(data, {})
         return found
@@ -192,32 +194,22 @@ class _Pieces:
                 break
         else:
             raise ValueError("the vocabulary lacks a single byte")
-        (self.table if len(self.table) < self.limit else fresh)[data] = ids
-        return ids
-
-
-class _Parts(dict):
-    """What stands between two spaces -> ids of it with the space before it."""
-
-    def __init__(self, owner: "TextEncoder", limit: int):
-        super().__init__()
-        self.owner, self.limit = owner, limit
-
-    def __missing__(self, part: str) -> bytes:
-        ids = self.owner.encode_plainly(" " + part)
-        if len(self) < self.limit:
-            self[part] = ids
+        if self.table.room > 0:
+            self.table.keep(data, ids)
+        else:
+            fresh[data] = ids
         return ids
 
 
 class TextEncoder:
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, parts_room: int = PARTS_ROOM, pieces_room: int = PIECES_ROOM):
         self.bpe = PrefixBPE(ranks)
-        spelled = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^{WHITE}\p{{L}}\p{{N}}]").replace(r"(?!\S)", f"(?![^{WHITE}])").replace(r"\s", f"[{WHITE}]")
-        self.pattern = regex.compile(spelled)
+        self.cuts = pattern == KNOWN
+        self.pattern = regex.compile(_with_white(pattern))
         self.white_after_space = regex.compile(f" (?:[{WHITE}]|$)")
-        self.pieces = _Pieces(self.bpe, CACHE_PIECES)
-        self.parts = _Parts(self, CACHE_PARTS)
+        self.pieces = _Pieces(self.bpe, pieces_room)
+        # what stands between two spaces -> ids of it with the space before it
+        self.parts = Remembered(lambda part: self.encode_plainly(" " + part), parts_room)
         self.spelling = Spelling(self.bpe.spelling)
         self.decimals = Spelling({rank: b"%d " % rank for rank in self.bpe.spelling})
 
@@ -228,12 +220,35 @@ class TextEncoder:
         """Ids as little-endian uint32."""
         if not text:
             return b""
-        first, *rest = text.split(" ")
+        first, *rest = text.split(" ") if self.cuts else [text]
         if any(not part or part[0] < "!" or (part[0] > "~" and self.white_after_space.match(" " + part)) for part in rest):
             return self.encode_plainly(text)
         return self.encode_plainly(first) + b"".join(map(self.parts.__getitem__, rest))
 
 
+def _with_white(pattern: str) -> str:
+    """The pattern with white space spelled out, as the `regex` module's own class has four controls more."""
+    out, at, inside = [], 0, False
+    while at < len(pattern):
+        two = pattern[at : at + 2]
+        if two == r"\s":
+            out.append(WHITE if inside else f"[{WHITE}]")
+        elif two == r"\S":
+            if inside:
+                raise ValueError("a pattern with \\S within brackets is not supported")
+            out.append(f"[^{WHITE}]")
+        elif two[0] == "\\":
+            out.append(two)
+        else:
+            inside = two[0] == "[" or (inside and two[0] != "]")
+            out.append(two[0])
+            at -= 1
+        at += 2
+    if "(" in pattern.replace("(?", ""):
+        raise ValueError("a pattern with capturing groups is not supported")
+    return "".join(out)
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> TextEncoder:
     return TextEncoder(read_ranks(path), pattern)
@@ -258,8 +273,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encodes, decodes the ids again, and keeps digests of both: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return _run(docs, path, pattern, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",
-                _digest, [pa.int64(), pa.string(), pa.string()], ["n_tokens", "ids_sha256", "decoded_sha256"])
+    with common.small_batches(docs.sparkSession):
+        return common.written(_run(docs, path, pattern, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",
+                                   _digest, [pa.int64(), pa.string(), pa.string()], ["n_tokens", "ids_sha256", "decoded_sha256"]), "bpe-digests")
 
 
 class Spelling:
@@ -284,8 +300,6 @@ def _digest(ids: np.ndarray, texts: TextEncoder) -> tuple:
 
 
 def _run(docs: DataFrame, path: str, pattern: str, schema: str, make, kinds, names) -> DataFrame:
-    common.small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = encoder(path, pattern)
         for batch in batches:

@@ -2,7 +2,7 @@
 
 The library's pipeline for such a vocabulary never joins text across white space, so a text's ids
 are the ids of its white-space separated words one after the other. Words repeat; each is
-encoded once per worker and remembered. What the shortcut does not cover goes through the
+encoded once per worker and remembered, within a bound on bytes. What the shortcut does not cover goes through the
 library's whole pipeline: separator controls that only Python counts as white space, texts that
 hold the name of a special token, words with letters beyond Latin, other vocabularies.
 """
@@ -15,37 +15,11 @@ from functools import lru_cache
 
 import regex
 
-#: Words kept per worker; above it new words are encoded each time they come.
-CACHE_WORDS = 600_000
-CACHE_PIECES = 400_000
+from .caches import Remembered
 
-
-class _Pieces(dict):
-    """Piece of a word after pre-tokenisation, as text -> its ids as little-endian uint32."""
-
-    def __init__(self, model, limit: int):
-        super().__init__()
-        self.model, self.limit = model, limit
-        self.alphabet = _byte_alphabet()
-
-    def __missing__(self, piece: str) -> bytes:
-        spelled = piece.encode().decode("latin-1").translate(self.alphabet)
-        ids = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled))
-        if len(self) < self.limit:
-            self[piece] = ids
-        return ids
-
-
-class _Words(dict):
-    def __init__(self, owner: "WordEncoder", limit: int):
-        super().__init__()
-        self.owner, self.limit = owner, limit
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.owner.encode_word(word)
-        if len(self) < self.limit:
-            self[word] = ids
-        return ids
+#: Bytes that remembered words and pieces may take in a worker.
+WORDS_ROOM = 128 << 20
+PIECES_ROOM = 64 << 20
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -58,7 +32,7 @@ def _byte_alphabet() -> dict[int, str]:
 class WordEncoder:
     """`encode(text)` gives the library's ids as little-endian uint32 bytes."""
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS, cache_pieces: int = CACHE_PIECES):
+    def __init__(self, path: str, words_room: int = WORDS_ROOM, pieces_room: int = PIECES_ROOM):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -67,8 +41,9 @@ class WordEncoder:
         spec = json.loads(self.tokenizer.to_str())
         self.specials = [t["content"] for t in spec.get("added_tokens", ())]
         self.pattern = self._split_pattern(spec)
-        self.pieces = _Pieces(self.tokenizer.model, cache_pieces)
-        self.words = _Words(self, cache_words)
+        self.alphabet = _byte_alphabet()
+        self.pieces = Remembered(self._piece, pieces_room)
+        self.words = Remembered(self.encode_word, words_room)
 
     @staticmethod
     def _split_pattern(spec: dict):
@@ -86,6 +61,11 @@ class WordEncoder:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return b"".join(i.to_bytes(4, "little") for i in ids)
 
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece of a word after pre-tokenisation, as little-endian uint32."""
+        spelled = piece.encode().decode("latin-1").translate(self.alphabet)
+        return b"".join(t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(spelled))
+
     def encode_word(self, word: str) -> bytes:
         # Below U+0250 texts are in NFC already and lower case is letter by letter, but for U+0130.
         if not word.isascii() and (max(word) >= "ɐ" or "İ" in word):
