@@ -7,19 +7,24 @@ minimal perfect hash over its keys and, addressed by it, arrays of fingerprint,
 length. A key is a doc_id and, for repeated doc_ids, the number of the repeat. Access by key is:
 bucket, bit, rank, fingerprint, one range read.
 
+A store is complete when its `manifest` is there, which is written last and names what `open_store` needs, so later
+jobs read what an earlier one wrote. `get` reads one document on the driver: a bucket of the index and a range of a file.
+
 Scale. One range shuffle of the texts; encoding and writing are one pass, a file for a task.
 File offsets, not texts, go to the index, whose buckets are of bounded size. The driver holds one
 row for each file. A file is renamed into place when complete, and only the files of the task
 attempts whose rows were committed are listed, so lost executors leave no partial store. `path` is a folder
 that all executors share: a plain path or a URI that pyarrow's file systems open (file, hdfs, s3, gs).
 
-Edge cases. Null or empty text: the end id alone. Null doc_id: stored first, readable by key
+Edge cases. doc_id of any whole-number type: taken as long. Keys that the index lacks make `read` fail, or are
+left out if it is told so. Null or empty text: the end id alone. Null doc_id: stored first, readable by key
 None. Repeated rows: each is stored; keys (doc_id, 0), (doc_id, 1), ... Empty table: a store with
 no files. Further columns are ignored.
 """
 
 from __future__ import annotations
 
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +42,9 @@ from .mph import MinimalPerfectHash, document_keys, fingerprints
 from .word_encoder import encoder
 
 KEYS_PER_BUCKET = 100_000
+BUCKETS_PER_GROUP = 64
+INDEX = "bucket int, body binary"
+MANIFEST = "dtype string, buckets int, file struct<shard: int, name: string, n: long, before: long>"
 ENTRY = "doc_id long, shard int, file string, offset long, n_tokens long, repeat long"
 
 
@@ -52,7 +61,6 @@ class TokenStore:
     path: str
     dtype: str
     files: list[tuple[int, str, int, int]]  # shard, file, ids in it, ids before it
-    entries: DataFrame
     index: DataFrame
     buckets: int
 
@@ -61,7 +69,6 @@ def write(spark: SparkSession, docs: DataFrame, vocabulary: str, path: str, end_
           keys_per_bucket: int = KEYS_PER_BUCKET) -> TokenStore:
     """Encodes `docs` (doc_id, text), writes the id files and the index below `path`."""
     dtype = "<u2" if encoder(vocabulary).vocab_size <= 1 << 16 else "<u4"
-    common.small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     # Equal doc_ids with different texts may be dealt out; sorting makes offsets ascend with doc_id.
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
@@ -72,18 +79,52 @@ def write(spark: SparkSession, docs: DataFrame, vocabulary: str, path: str, end_
 
     (_filesystem(path)[0]).create_dir(_filesystem(path)[1], recursive=True)
     entries = ordered.mapInArrow(encode_partition, ENTRY)
-    entries.write.parquet(f"{path}/entries")
+    with common.small_batches(spark):
+        entries.write.parquet(f"{path}/entries")
     entries = spark.read.schema(entries.schema).parquet(f"{path}/entries")
 
     files, carried = _files(entries)
     entries = _with_global_repeats(spark, entries, carried)
     count = sum(f[4] for f in files)
     buckets = max(1, -(-count // keys_per_bucket))
-    keyed = entries.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "repeat"), F.lit(buckets)).cast("int"))
-    index = keyed.groupBy("bucket").applyInArrow(_build_bucket, "bucket int, body binary")
-    index.write.parquet(f"{path}/index")
-    index = spark.read.schema("bucket int, body binary").parquet(f"{path}/index")
-    return TokenStore(path, dtype, [f[:4] for f in files], entries, index, buckets)
+    index = _bucketed(entries, buckets).groupBy("bucket").applyInArrow(_build_bucket, INDEX)
+    # neighbouring buckets lie in one file, in order, so reading one bucket touches one row group
+    index.repartition(F.expr(f"bucket div {BUCKETS_PER_GROUP}")).sortWithinPartitions("bucket").write.parquet(f"{path}/index")
+    spark.createDataFrame([(dtype, buckets, f[:4]) for f in files] or [(dtype, buckets, None)], MANIFEST).coalesce(1).write.parquet(f"{path}/manifest")
+    return open_store(spark, path)
+
+
+def open_store(spark: SparkSession, path: str) -> TokenStore:
+    """The store that `write` left at `path`."""
+    rows = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").collect()
+    files = sorted(tuple(r["file"]) for r in rows if r["file"] is not None)
+    return TokenStore(path, rows[0]["dtype"], files, spark.read.schema(INDEX).parquet(f"{path}/index"), rows[0]["buckets"])
+
+
+def _bucketed(keys: DataFrame, buckets: int) -> DataFrame:
+    """`_bucket_of` as an expression."""
+    return keys.withColumn("bucket", F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.col("repeat").cast("long")), F.lit(buckets)).cast("int"))
+
+
+def _bucket_of(doc_id: int | None, repeat: int, buckets: int) -> int:
+    seed = 42
+    for value in (doc_id, repeat):
+        if value is not None:
+            seed = xxhash.xxh64(struct.pack("<q", value), seed=seed).intdigest()
+    return (seed - (1 << 64) if seed >> 63 else seed) % buckets
+
+
+def get(store: TokenStore, doc_id: int | None, repeat: int = 0) -> np.ndarray | None:
+    """Ids of one document, read on the driver; None if the index lacks the key."""
+    rows = store.index.where(F.col("bucket") == _bucket_of(doc_id, repeat, store.buckets)).toArrow()
+    keys = pa.table({"doc_id": pa.array([doc_id], pa.int64()), "repeat": pa.array([repeat], pa.int64())})
+    place = _lookup_bucket(keys, rows).to_pylist()[0]
+    if not place["found"]:
+        return None
+    system, root = _filesystem(store.path)
+    width, name = np.dtype(store.dtype).itemsize, next(f for s, f, _, _ in store.files if s == place["shard"])
+    with system.open_input_file(f"{root}/{name}") as source:
+        return np.frombuffer(source.read_at(place["n_tokens"] * width, place["offset"] * width), store.dtype).astype("<u4")
 
 
 def _write_file(batches, vocabulary: str, end_id: int, dtype: str, path: str):
@@ -199,21 +240,21 @@ def locate(store: TokenStore, keys: DataFrame) -> DataFrame:
 
     A stranger passes for a key with a chance of 2^-32, the fingerprint's.
     """
-    keyed = keys.select("doc_id", F.col("repeat").cast("long")).withColumn(
-        "bucket", F.pmod(F.xxhash64("doc_id", "repeat"), F.lit(store.buckets)).cast("int"))
+    keyed = _bucketed(keys.select(F.col("doc_id").cast("long"), F.col("repeat").cast("long")), store.buckets)
     return keyed.groupBy("bucket").cogroup(store.index.groupBy("bucket")).applyInArrow(_lookup_bucket, LOCATED_SQL)
 
 
-def read(store: TokenStore, keys: DataFrame, digest_only: bool = False) -> DataFrame:
+def read(store: TokenStore, keys: DataFrame, digest_only: bool = False, strangers: bool = False) -> DataFrame:
     """Ids of the documents with these keys, read from the id files through the index.
 
-    Rows are sorted by place before reading, so each task walks through its files. Returns
+    A key that the index lacks makes the job fail, or is left out if `strangers` are allowed. Rows are sorted by place before reading, so each task walks through its files. Returns
     doc_id, repeat, start (ids of all documents before it), n_tokens, ids_crc32 and, unless
     `digest_only`, ids as array<int>.
     """
     spark = keys.sparkSession
     places = spark.createDataFrame([(s, f, b) for s, f, _, b in store.files], "shard int, file string, before long")
-    found = locate(store, keys).where("found").join(places, "shard")
+    lacking = F.lit(False) if strangers else F.raise_error(F.concat(F.lit("the index lacks key "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("/"), F.col("repeat").cast("string"))).cast("boolean")
+    found = locate(store, keys).where(F.when(F.col("found"), True).otherwise(lacking)).join(places, "shard")
     ordered = found.repartition("shard", F.floor(F.col("offset") / (1 << 24))).sortWithinPartitions("shard", "offset")
     path, dtype = store.path, store.dtype
     schema = "doc_id long, repeat long, start long, n_tokens long, ids_crc32 long" + ("" if digest_only else ", ids array<int>")
@@ -241,7 +282,9 @@ def read(store: TokenStore, keys: DataFrame, digest_only: bool = False) -> DataF
     return ordered.mapInArrow(slices, schema)
 
 
-def keys_of(docs: DataFrame) -> DataFrame:
+def keys_of(docs: DataFrame, stretch: int = 10_000) -> DataFrame:
     """The keys (doc_id, repeat) that a store of `docs` has."""
-    counted = docs.groupBy("doc_id").agg(F.count("*").alias("copies"))
-    return counted.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("repeat"))
+    counted = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("copies"))
+    # a doc_id of very many rows is spelled out stretch by stretch
+    starts = counted.select("doc_id", "copies", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(stretch).cast("long"))).alias("start"))
+    return starts.select("doc_id", F.explode(F.sequence("start", F.least(F.col("start") + stretch, "copies") - 1)).alias("repeat"))

@@ -44,7 +44,7 @@ TEXT = st.text(alphabet=st.one_of(st.sampled_from(list("abcXYZ '.,!?\n\t 019-#é
 
 
 def test_word_encoder_equals_the_library(library):
-    encoder = WordEncoder(WORDS, cache_words=50, cache_pieces=50)
+    encoder = WordEncoder(WORDS, words_room=9000, pieces_room=9000)
 
     @settings(max_examples=300, deadline=None)
     @given(TEXT)
@@ -83,6 +83,60 @@ def test_store_round_trip(spark, library, keys_per_bucket):
     assert not any(r["found"] for r in strange)
 
 
+def test_store_of_narrow_ids_opened_again(spark, library):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(200)], "doc_id int, text string")
+    path = common.new_path(spark, "store")
+    token_store.write(spark, docs, WORDS, path, 2, keys_per_bucket=20)
+    store = token_store.open_store(spark, path)
+    assert store.buckets == 10
+    got = token_store.read(store, token_store.keys_of(docs)).collect()
+    assert {r["doc_id"]: list(r["ids"]) for r in got} == {k: [*ids_of(library, f"text {k}"), 2] for k in range(200)} and len(got) == 200
+    for k in (0, 77, 199):
+        assert token_store.get(store, k).tolist() == [*ids_of(library, f"text {k}"), 2]
+    assert token_store.get(store, 4321) is None and token_store.get(store, 5, 1) is None and token_store.get(store, None) is None
+    strange = spark.createDataFrame([(1, 0), (4321, 0)], "doc_id int, repeat int")
+    assert [r["doc_id"] for r in token_store.read(store, strange, strangers=True).collect()] == [1]
+    with pytest.raises(Exception, match="the index lacks key 4321/0"):
+        token_store.read(store, strange).collect()
+
+
+def test_keys_of_a_hot_id_are_spelled_in_stretches(spark):
+    docs = spark.createDataFrame([(7,)] * 25 + [(None,)] * 3, "doc_id int")
+    got = sorted(((r["doc_id"] or 0), r["repeat"]) for r in token_store.keys_of(docs, stretch=4).collect())
+    assert got == [(0, k) for k in range(3)] + [(7, k) for k in range(25)]
+
+
+def test_long_words_are_not_remembered(library, tiktoken_encoding):
+    encoder, texts = WordEncoder(WORDS), byte_bpe.TextEncoder(byte_bpe.read_ranks(BYTES), P.PATTERN)
+    room = encoder.words.room, texts.parts.room
+    for k in range(3):
+        text = f"{k}" + "qxzv" * 25_000
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids_of(library, text)
+        assert len(np.frombuffer(texts.encode("a " + text), "<u4")) > 1000
+    assert not [w for w in encoder.words if len(w) > 64] and not [w for w in texts.parts if len(w) > 64]
+    assert encoder.words.room == room[0] and texts.parts.room == room[1]
+
+
+def test_remembering_keeps_within_its_room(tiktoken_encoding):
+    texts = byte_bpe.TextEncoder(byte_bpe.read_ranks(BYTES), P.PATTERN, parts_room=5000, pieces_room=5000)
+    text = " ".join(f"word{k}x" for k in range(3000))
+    assert np.frombuffer(texts.encode(text), "<u4").tolist() == tiktoken_encoding.encode_ordinary(text)
+    assert len(texts.parts) < 40 and -600 < texts.parts.room <= 0 and -600 < texts.pieces.table.room <= 0
+
+
+def test_other_patterns_are_read_whole(tiktoken_encoding):
+    import tiktoken
+
+    pattern = r"\s*[^\s]{1,3}|\s+"
+    own = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=byte_bpe.read_ranks(BYTES), special_tokens={})
+    texts = byte_bpe.TextEncoder(byte_bpe.read_ranks(BYTES), pattern)
+    for text in ("abcdef gh\x1ci  j", " x\x85y ", ""):
+        assert np.frombuffer(texts.encode(text), "<u4").tolist() == own.encode_ordinary(text)
+    for bad in (r"[\S]", r"(a)b"):
+        with pytest.raises(ValueError):
+            byte_bpe.TextEncoder({bytes([b]): b for b in range(256)}, bad)
+
+
 def test_store_of_nothing(spark):
     docs = frame(spark, [])
     store = token_store.write(spark, docs, WORDS, common.new_path(spark, "store"))
@@ -119,8 +173,39 @@ def test_plan_packs_every_run(lengths):
         for n, k in parts:
             packed[n] = packed.get(n, 0) + k * bins
     assert packed == counts
-    used, least = sum(b for b, _ in patterns), -(-sum(lengths) // 60)
-    assert used <= 1.7 * least + 1
+    assert sorted(bins_of(patterns)) == sorted(bin_by_bin(counts, 60))
+
+
+def bins_of(patterns):
+    return [tuple(parts) for bins, parts in patterns for _ in range(bins)]
+
+
+def bin_by_bin(counts, capacity):
+    """The same rule applied to one bin after the other."""
+    left = np.zeros(capacity + 1, np.int64)
+    for length, n in counts.items():
+        left[length] = n
+    out = []
+    while left.any():
+        used, _ = packing._fill(left, capacity)
+        for length, n in used.items():
+            left[length] -= n
+        out.append(tuple(sorted(used.items(), reverse=True)))
+    return out
+
+
+def test_plan_comes_near_the_lower_bound_where_first_fit_does_not():
+    rng = np.random.default_rng(7)
+    for lengths in (np.minimum(2048, rng.lognormal(5.6, 1.0, 4000).astype(int) + 1), rng.integers(1, 2049, 4000), rng.integers(300, 1100, 4000)):
+        sizes, n = np.unique(lengths, return_counts=True)
+        used = sum(b for b, _ in packing.plan(dict(zip(sizes.tolist(), n.tolist())), 2048))
+        least = -(-int(lengths.sum()) // 2048)
+        rooms: list[int] = []  # next fit, in order of arrival
+        for length in lengths.tolist():
+            if not rooms or rooms[-1] < length:
+                rooms.append(2048)
+            rooms[-1] -= length
+        assert least <= used <= 1.02 * least + 1 < len(rooms)
 
 
 def test_plan_uses_two_for_the_smallest():
