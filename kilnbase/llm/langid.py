@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -89,18 +90,19 @@ def _descend(gradient, start: np.ndarray, curvature: float, steps: int = 400) ->
     return w
 
 
-def _curvature(x: np.ndarray) -> float:
-    v = np.ones(x.shape[1])
+def _curvature(x: np.ndarray, weight: np.ndarray) -> float:
+    """The greatest eigenvalue of x' diag(weight) x, a hair enlarged."""
+    v = np.ones(x.shape[1], x.dtype)
     for _ in range(20):
-        v = x.T @ (x @ v)
+        v = x.T @ (weight * (x @ v))
         v /= np.linalg.norm(v)
-    return float(v @ (x.T @ (x @ v))) / len(x)
+    return 1.01 * float(v @ (x.T @ (weight * (x @ v))))
 
 
 def softmax_regression(x: np.ndarray, y: np.ndarray, classes: int, ridge: float = 1e-4) -> np.ndarray:
-    x = np.hstack([x, np.ones((len(x), 1))])
-    target = np.eye(classes)[y]
-    weight = 1 / (classes * np.maximum(1, np.bincount(y, minlength=classes))[y])[:, None]
+    """Weights of a softmax regression, all classes of equal weight; `x` has the constant column."""
+    target = np.eye(classes, dtype=x.dtype)[y]
+    weight = (1 / (classes * np.maximum(1, np.bincount(y, minlength=classes))[y])[:, None]).astype(x.dtype)
 
     def gradient(w):
         z = x @ w
@@ -108,19 +110,19 @@ def softmax_regression(x: np.ndarray, y: np.ndarray, classes: int, ridge: float
         p /= p.sum(1, keepdims=True)
         return x.T @ ((p - target) * weight) + ridge * w
 
-    return _descend(gradient, np.zeros((x.shape[1], classes)), _curvature(x * np.sqrt(weight * len(x))) / 2 + ridge)
+    return _descend(gradient, np.zeros((x.shape[1], classes), x.dtype), _curvature(x, weight[:, 0]) / 2 + ridge)
 
 
 def linear_svm(x: np.ndarray, sign: np.ndarray, ridge: float = 1e-4) -> np.ndarray:
-    """Squared hinge loss, both classes of equal weight."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    weight = np.where(sign > 0, 1 / max(1, (sign > 0).sum()), 1 / max(1, (sign < 0).sum())) / 2
+    """Squared hinge loss, both classes of equal weight; `x` has the constant column."""
+    sign = sign.astype(x.dtype)
+    weight = (np.where(sign > 0, 1 / max(1, (sign > 0).sum()), 1 / max(1, (sign < 0).sum())) / 2).astype(x.dtype)
 
     def gradient(w):
         slack = np.maximum(0, 1 - sign * (x @ w))
         return -2 * x.T @ (weight * sign * slack) + ridge * w
 
-    return _descend(gradient, np.zeros(x.shape[1]), 2 * _curvature(x * np.sqrt(weight * len(x))[:, None]) + ridge)
+    return _descend(gradient, np.zeros(x.shape[1], x.dtype), 2 * _curvature(x, weight) + ridge)
 
 
 @dataclass
@@ -160,10 +162,13 @@ class LanguageModel:
         return language, score
 
 
-def fit(x: np.ndarray, y: list[str]) -> LanguageModel:
+def fit(features: np.ndarray, y: list[str]) -> LanguageModel:
+    """From rows of features, in single precision so that the driver holds little more than the sample once."""
+    x = np.ones((len(features), features.shape[1] + 1), np.float32)
+    x[:, :-1] = features
     languages = sorted(set(y))
     number = np.array([languages.index(v) for v in y], np.int64)
-    centre = np.vstack([x[number == k].mean(0) for k in range(len(languages))])
+    centre = np.vstack([x[number == k, :-1].mean(0) for k in range(len(languages))])
     named = {v: name for name, group in FAMILIES.items() for v in group}
     of = [named.get(v) for v in languages]
     for k, v in enumerate(languages):
@@ -192,57 +197,66 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, total: int = TOTAL)
     if not counts:
         return None
     share = min(per_language, max(1, total // len(counts)))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rate = F.create_map(*(x for v, n in counts.items() for x in (F.lit(v), F.lit(share / n))))
-    sample = pool.where(draw < rate[F.col("lang")])
+    draw = F.pmod(F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # some more than the share are drawn by hash, and the share of least hashes stays
+    rate = F.create_map(*(x for v, n in counts.items() for x in (F.lit(v), F.lit((share + 8 * share**0.5) / n))))
+    sample = pool.withColumn("draw", draw).where(F.col("draw") < rate[F.col("lang")])
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("draw", "doc_id"))
+    sample = sample.withColumn("nth", nth).where(F.col("nth") <= share).select("doc_id", "text", "lang")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r.astype("<f4").tobytes() for block in features(batch.column("text")) for r in block]
+            rows = [r.astype("<f2").tobytes() for block in features(batch.column("text")) for r in block]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(rows, pa.binary())], names=["doc_id", "lang", "x"])
 
     rows = sample.mapInArrow(make, "doc_id long, lang string, x binary").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
     if not len(rows):
         return None
-    x = np.frombuffer(b"".join(rows["x"].to_pylist()), "<f4").reshape(len(rows), -1).astype(np.float64)
+    packed = rows["x"].combine_chunks()
+    packed = packed.chunk(0) if isinstance(packed, pa.ChunkedArray) else packed
+    start = int(np.frombuffer(packed.buffers()[1], np.int32, 1, 4 * packed.offset)[0])
+    x = np.frombuffer(packed.buffers()[2], "<f2", len(rows) * BUCKETS, start).reshape(len(rows), BUCKETS)
     return fit(x, rows["lang"].to_pylist())
 
 
-def predictor(docs: DataFrame, model: LanguageModel | None):
-    """Partition function: appends lang_pred and score, from the last column, a text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            known = np.array([model is not None and t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()], bool)
-            names, scores = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows)
-            if known.any():
-                found = [model.predict(x) for x in features(texts)]
-                languages = np.array(model.languages, object)
-                names[known] = languages[np.concatenate([f[0] for f in found])][known]
-                scores[known] = np.concatenate([f[1] for f in found])[known]
-            kept = list(range(batch.num_columns - 1))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(names, pa.string()), pa.array(scores)],
-                                             names=[*(batch.schema.names[k] for k in kept), "lang_pred", "score"])
-
-    return run
+def _labelled(model: LanguageModel | None, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each text."""
+    known = np.array([model is not None and t.is_valid and any(map(str.isalpha, t.as_py())) for t in texts], bool)
+    names, scores = np.full(len(texts), "und", object), np.zeros(len(texts))
+    if known.any():
+        found = [model.predict(x) for x in features(texts)]
+        languages = np.array(model.languages, object)
+        names[known] = languages[np.concatenate([f[0] for f in found])][known]
+        scores[known] = np.concatenate([f[1] for f in found])[known]
+    return names, scores
 
 
 def predict(docs: DataFrame, per_language: int = PER_LANGUAGE, total: int = TOTAL) -> DataFrame:
     """`docs` (doc_id, text, lang): doc_id, held_out, lang_pred, score."""
-    common.small_batches(docs.sparkSession)
-    model = train(docs, per_language, total)
-    rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string"))
-    return rows.mapInArrow(predictor(docs, model), "doc_id long, held_out boolean, lang_pred string, score double")
+    with common.small_batches(docs.sparkSession):
+        shared = docs.sparkSession.sparkContext.broadcast(train(docs, per_language, total))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                names, scores = _labelled(shared.value, batch.column(2))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores)],
+                                                 names=["doc_id", "held_out", "lang_pred", "score"])
+
+        rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string"))
+        return common.written(rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double"), "languages")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents whose language can be told; rejected are those predicted `und`. Columns stay."""
-    common.small_batches(docs.sparkSession)
-    model = train(docs)
-    place = [f"c{k}" for k in range(len(docs.columns))]
-    rows = docs.toDF(*place).withColumn("_text", F.col(place[docs.columns.index("text")]).cast("string"))
-    schema = ", ".join(f"{p} {t}" for p, (_, t) in zip(place, docs.dtypes, strict=True)) + ", lang_pred string, score double"
-    return rows.mapInArrow(predictor(docs, model), schema).where("lang_pred <> 'und'").select(*place).toDF(*docs.columns)
+    """The documents whose language can be told; rejected are those predicted `und`. Columns stay, whatever their names.
+
+    Texts go to Python once and don't come back: the prediction alone does.
+    """
+    with common.small_batches(docs.sparkSession):
+        shared = docs.sparkSession.sparkContext.broadcast(train(docs))
+
+    @F.arrow_udf("string")
+    def language(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in texts:
+            yield pa.array(_labelled(shared.value, part)[0], pa.string())
+
+    return docs.where(language(F.col("text").cast("string")) != "und")
