@@ -20,11 +20,13 @@ END_ID = 0
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without text or letters, whose language cannot be told, go."""
+    common.bound_batches(spark)
     return langid.keep_identified(docs)
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling does not draw go."""
+    common.bound_batches(spark)
     return quality.keep_selected(docs, common.table(spark, sf_dir, "labels"))
 
 
@@ -35,6 +37,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal spans are masked in the text."""
+    common.bound_batches(spark)
     return pii.redact(docs)
 
 
@@ -61,6 +64,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; what each but the last returns is a table in the shared folder."""
+    common.bound_batches(spark)
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = common.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
