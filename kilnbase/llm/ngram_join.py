@@ -134,8 +134,9 @@ def linked_groups(docs: DataFrame, size: int = 4, percent: int = 85, orders: int
 
         compare = lambda pairs: _verified(docs, pairs, size, percent, orders, bits, ranks)
         tried = None
-        for _ in range(ROUNDS):
-            listed = _mixed(listed, joined)
+        for k in range(ROUNDS):
+            if k:
+                listed = _mixed(listed, joined)
             pairs = common.written(_with_hubs(listed, tried, percent), "shingle-pairs")
             compared = pairs.count()
             if not compared:
@@ -160,7 +161,7 @@ def linked_groups(docs: DataFrame, size: int = 4, percent: int = 85, orders: int
 
 
 def _lists(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """token, doc_id, n, pos: the prefix lists of one document for each class.
+    """token, doc_id, n, pos, component: the prefix lists of one document for each class, still a component by itself.
 
     In a list by size, a row stays if its next smaller or next larger neighbour passes the length filter: if
     neither does, no row of the list does. In a list of two the place bound must hold as well.
@@ -173,7 +174,7 @@ def _lists(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     seen = seen.withColumns({"xx": F.lag("n", 2).over(order), "yy": F.lead("n", 2).over(order)})
     two = "((x is null and yy is null) or (y is null and xx is null))"
     fits = lambda s: f"({s} is not null and 100 * least(n, {s}.n) >= {percent} * greatest(n, {s}.n) and (not {two} or least(n - pos, {s}.n - {s}.pos) >= {_need(percent, 'n', f'{s}.n')}))"
-    return seen.where(f"{fits('x')} or {fits('y')}").select("token", "doc_id", "n", "pos")
+    return seen.where(f"{fits('x')} or {fits('y')}").select("token", "doc_id", "n", "pos", F.col("doc_id").alias("component"))
 
 
 def _grown(joined: DataFrame, links: DataFrame) -> DataFrame:
@@ -186,8 +187,11 @@ def _mixed(listed: DataFrame, joined: DataFrame) -> DataFrame:
     placed = listed.select("token", "doc_id", "n", "pos").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     placed = placed.withColumn("component", F.coalesce("component", "doc_id"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    out = common.written(placed.join(mixed.select("token"), "token", "left_semi"), "mixed-lists")
-    common.discard(listed.sparkSession, listed)
+    # written, so that the join is of two plain exchanges, which adaptive execution splits where a token is frequent
+    mixed = common.written(mixed.select("token"), "mixed-tokens")
+    out = common.written(placed.join(mixed, "token", "left_semi"), "mixed-lists")
+    for table in (listed, mixed):
+        common.discard(listed.sparkSession, table)
     return out
 
 
@@ -216,6 +220,7 @@ def _with_hubs(listed: DataFrame, tried: DataFrame | None, percent: int, hubs: i
     degrees = listed.groupBy("doc_id").agg(F.count("*").alias("degree"))
     known = listed.join(degrees, "doc_id")
     hub = known.groupBy("token").agg(F.max_by(F.struct("doc_id", "n", "pos", "component"), F.struct("degree", "doc_id")).alias("hub"))
+    hub = common.written(hub, "list-hubs")  # as in `_mixed`
     rows = listed.join(hub, "token").where("component <> hub.component").selectExpr(
         "hub.doc_id x_doc_id", "hub.n x_n", "hub.pos x_pos", "doc_id y_doc_id", "n y_n", "pos y_pos").where(_near(percent))
     counts = rows.groupBy("x_doc_id", "x_n", "y_doc_id", "y_n").agg(F.count("*").alias("lists"))
