@@ -111,7 +111,9 @@ def _pulled(state: DataFrame, free: list[int], limit: int, classes: int, k: int)
     roomy = F.array(*(F.lit(f > 0) for f in free))[F.col("shard")]
     cells = state.groupBy("gid", "shard").agg(F.count("*").alias("n"))
     pull = cells.groupBy("gid").agg(F.max(F.when(roomy, place)).alias("best"), F.collect_list(place).alias("places"), F.sum("n").alias("rows"))
-    rows = state.join(pull.withColumnRenamed("gid", "pull_gid"), F.col("gid") == F.col("pull_gid"))
+    # written, so that the join is of two plain exchanges, which adaptive execution splits where a group is large
+    pull = common.written(pull.withColumnRenamed("gid", "pull_gid"), "sharding-pulls")
+    rows = state.join(pull, F.col("gid") == F.col("pull_gid"))
     own = F.filter("places", lambda p: p["shard"] == F.col("shard"))[0]
     kind = F.when(F.col("rows") > limit, F.xxhash64("gid", "doc_id", F.lit(k))).otherwise(F.xxhash64("gid", F.lit(k)))
     return rows.select(
