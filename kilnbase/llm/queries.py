@@ -85,7 +85,26 @@ QUERIES = {f.__name__: f for f in (op1_topk_search, op2_label_propagation_shardi
                                    op4_embedding_near_dedup, op5_token_store, op6_ngram_jaccard, op7_best_two_fit,
                                    op8_language_id, op9_byte_bpe, op10_quality_resampling)}
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLES: dict[str, str] = {
+    "op6_ngram_jaccard": f"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, array_to_string(words[i : i + 3], ' ') AS shingle
+            FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS i FROM w WHERE len(words) > 0)
+        ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+        links AS (
+            SELECT x, y FROM shared JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)
+        ), reach AS (
+            SELECT doc_id AS x, doc_id AS y FROM documents
+            UNION
+            SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+        ), c AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+        SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
+        FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.x = d.doc_id""",
     "op1_topk_search": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
