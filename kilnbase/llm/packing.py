@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .word_encoder import encoder
+from .word_encoder import ROOM, encoder
 
 RUNS_PER_BUCKET = 50_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -129,12 +129,10 @@ def pack(runs: DataFrame, capacity: int, key: list[str], runs_per_bucket: int =
     return placed.mapInArrow(place, schema)
 
 
-def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0, room: int = ROOM) -> DataFrame:
     """Documents (doc_id, text) encoded, ended and cut at the capacity; digests in place of ids."""
-    common.small_batches(docs.sparkSession)
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
+        words, end = encoder(vocabulary, room), np.array([end_id], "<u4").tobytes()
         step = 4 * capacity
         for batch in batches:
             rows: list[tuple] = []
@@ -151,8 +149,12 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0) ->
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
 
-def pack_documents(spark: SparkSession, docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    runs = common.written(pieces(docs, vocabulary, capacity, end_id), "packing-pieces")
+def pack_documents(spark: SparkSession, docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, room: int = ROOM) -> DataFrame:
+    """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    `room`: bytes that a worker may take to remember encoded words.
+    """
+    with common.small_batches(spark):
+        runs = common.written(pieces(docs, vocabulary, capacity, end_id, room), "packing-pieces")
     out = pack(runs, capacity, ["doc_id", "piece", "ids_crc32"])
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

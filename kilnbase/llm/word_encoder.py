@@ -17,9 +17,10 @@ import regex
 
 from .caches import Remembered
 
-#: Bytes that remembered words and pieces may take in a worker.
-WORDS_ROOM = 128 << 20
-PIECES_ROOM = 64 << 20
+#: Bytes that remembered words and pieces of words may take in a worker.
+ROOM = 256 << 20
+#: Fixed value: a pre-tokeniser's pattern under which a run of letters is one piece.
+LETTERS_WHOLE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -32,18 +33,21 @@ def _byte_alphabet() -> dict[int, str]:
 class WordEncoder:
     """`encode(text)` gives the library's ids as little-endian uint32 bytes."""
 
-    def __init__(self, path: str, words_room: int = WORDS_ROOM, pieces_room: int = PIECES_ROOM):
+    def __init__(self, path: str, room: int = ROOM):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocab_size = self.tokenizer.get_vocab_size()
+        self.model = self.tokenizer.model
         spec = json.loads(self.tokenizer.to_str())
         self.specials = [t["content"] for t in spec.get("added_tokens", ())]
         self.pattern = self._split_pattern(spec)
+        self.letters_whole = self.pattern is not None and self.pattern.pattern == LETTERS_WHOLE
         self.alphabet = _byte_alphabet()
-        self.pieces = Remembered(self._piece, pieces_room)
-        self.words = Remembered(self.encode_word, words_room)
+        self.packed = [k.to_bytes(4, "little") for k in range(self.vocab_size)]
+        self.pieces = Remembered(self._piece, room // 3)
+        self.words = Remembered(self.encode_word, room - room // 3)
 
     @staticmethod
     def _split_pattern(spec: dict):
@@ -63,10 +67,14 @@ class WordEncoder:
 
     def _piece(self, piece: str) -> bytes:
         """Ids of a piece of a word after pre-tokenisation, as little-endian uint32."""
-        spelled = piece.encode().decode("latin-1").translate(self.alphabet)
-        return b"".join(t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(spelled))
+        # printable ASCII is spelled as it is
+        spelled = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.alphabet)
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(spelled)])
 
     def encode_word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha() and self.letters_whole:
+            return self.pieces[word.lower()]
         # Below U+0250 texts are in NFC already and lower case is letter by letter, but for U+0130.
         if not word.isascii() and (max(word) >= "ɐ" or "İ" in word):
             return self._whole(word)
@@ -84,7 +92,7 @@ class WordEncoder:
         return b"".join(map(self.words.__getitem__, text.split()))
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
+@lru_cache(maxsize=1)
+def encoder(path: str, room: int = ROOM) -> WordEncoder:
     """One encoder per worker process and vocabulary."""
-    return WordEncoder(path)
+    return WordEncoder(path, room)

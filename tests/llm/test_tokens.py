@@ -44,7 +44,7 @@ TEXT = st.text(alphabet=st.one_of(st.sampled_from(list("abcXYZ '.,!?\n\t 019-#é
 
 
 def test_word_encoder_equals_the_library(library):
-    encoder = WordEncoder(WORDS, words_room=9000, pieces_room=9000)
+    encoder = WordEncoder(WORDS, room=20_000)
 
     @settings(max_examples=300, deadline=None)
     @given(TEXT)
