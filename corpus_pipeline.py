@@ -16,6 +16,8 @@ from kilnbase.llm import common, langid, ngram_join, packing, pii, quality
 ORACLE_SQL = None
 CAPACITY = 2048
 END_ID = 0
+#: Bytes for remembered words in a worker: less than the operator's own, as the workers have served other stages.
+ROOM = 48 << 20
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +45,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token runs of all documents, packed into sequences."""
-    return packing.pack_documents(spark, docs, vocabulary(), CAPACITY, END_ID)
+    return packing.pack_documents(spark, docs, vocabulary(), CAPACITY, END_ID, ROOM)
 
 
 def vocabulary() -> str:
