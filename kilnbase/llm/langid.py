@@ -5,11 +5,11 @@ it, linear support vector machines, one for each pair of the family's languages,
 most votes wins, ties by summed margin. The score is the family's probability times the winner's mean
 pairwise probability.
 
-Training takes at most `per_language` documents of each language and `total` in all, drawn by a hash
-of doc_id from the labelled documents that are not held out. Prediction reads whole texts only.
+Training takes at most `per_language` documents of each language and `total` in all, those of least hash
+of doc_id and text, from the labelled documents that are not held out. Prediction reads whole texts only.
 
-Scale. Two passes without shuffle: one over the training sample, one over all texts. The model's size
-follows from the number of languages and of hash buckets.
+Scale. Two passes: one draws the training sample, of which alone texts are shuffled, one reads all texts. The
+model's size follows from the number of languages and of hash buckets.
 
 Edge cases. Null text or no letter: `und`, score 0. No labelled document: all `und`. One language: it
 is predicted everywhere else. Null doc_id: not held out, not learned from. Repeated rows are predicted
