@@ -1,10 +1,11 @@
 """Sharding by balanced label propagation, under the law `rows`: shard sizes differ by one row at most.
 
 Method. Documents of equal text are linked. Linked documents begin in shards drawn by hash; in each round every
-document is pulled to the shard, of those with room, where most of its neighbours are, if more are there than in
-its own, and moves if that shard's quota has room. Rooms are given out by strength of pull, whole hash classes at
+document is pulled to the shard, of those with room, where most of its neighbours are, if no fewer are there than in
+its own, and moves if that shard's quota has room. A group that needs several shards is pulled to as many at
+once, those that hold most of it, to fill one after the other. Rooms are given out by strength of pull, whole hash classes at
 a time; a group is of one class, but one of more than an eighth of a shard is spread over all classes, so
-that part of it may move and it fills shard after shard. Each move puts a group's documents closer together, so
+that part of it may move. Each move puts a group's documents closer together, so
 rounds come to an end: when nothing moves, classes are made finer, and when still nothing moves
 propagation is over. Documents without links, and any that a full shard could not keep, then fill the
 shards up to their exact quotas.
@@ -87,7 +88,7 @@ def propagate(state: DataFrame, quota: list[int]) -> tuple[DataFrame, dict[int,
     classes, k = next(finer), 0
     while classes:
         free = [max(0, q - loads.get(s, 0)) for s, q in enumerate(quota)]
-        pulled = common.written(_pulled(state, free, limit, classes, k), "sharding-pulled")
+        pulled = common.written(_pulled(state, quota, free, limit, classes, k), "sharding-pulled")
         granted, moves = _grants(pulled.where("target is not null").groupBy("target", "strength", "class", "shard").agg(F.count("*").alias("n")).collect(), free)
         common.discard(spark, written)
         written, k = pulled, k + 1
@@ -104,20 +105,32 @@ def propagate(state: DataFrame, quota: list[int]) -> tuple[DataFrame, dict[int,
     return state, loads
 
 
-def _pulled(state: DataFrame, free: list[int], limit: int, classes: int, k: int) -> DataFrame:
+def _pulled(state: DataFrame, quota: list[int], free: list[int], limit: int, classes: int, k: int) -> DataFrame:
     """`state` with the shard that pulls each document, null if none does, how strongly, and the document's class."""
     # a group's shards in a fixed order: by its rows there, then by hash
     place = F.struct("n", F.xxhash64("gid", "shard").alias("hash"), "shard")
-    roomy = F.array(*(F.lit(f > 0) for f in free))[F.col("shard")]
+    room = F.array(*(F.lit(f).cast("long") for f in free))
     cells = state.groupBy("gid", "shard").agg(F.count("*").alias("n"))
-    pull = cells.groupBy("gid").agg(F.max(F.when(roomy, place)).alias("best"), F.collect_list(place).alias("places"), F.sum("n").alias("rows"))
+    pull = cells.groupBy("gid").agg(F.sort_array(F.collect_list(place), asc=False).alias("places"), F.sum("n").alias("rows"))
+    needed = F.greatest(F.lit(1), F.ceil(F.col("rows") / F.lit(max([1, *quota])))).cast("int")
+    roomy = lambda places: F.filter(places, lambda p: room[p["shard"]] > 0)
+    pull = pull.withColumns({"top": F.slice("places", F.lit(1), needed), "some": F.slice(roomy(F.col("places")), 1, 1)})
+    pull = pull.withColumns({"least": F.element_at("top", -1), "outside": F.col("rows") - F.aggregate("top", F.lit(0).cast("long"), lambda s, p: s + p["n"]), "goals": F.when(F.size(roomy(F.col("top"))) > 0, roomy(F.col("top"))).otherwise(F.col("some"))}).drop("top", "some")
     # written, so that the join is of two plain exchanges, which adaptive execution splits where a group is large
     pull = common.written(pull.withColumnRenamed("gid", "pull_gid"), "sharding-pulls")
     rows = state.join(pull, F.col("gid") == F.col("pull_gid"))
     own = F.filter("places", lambda p: p["shard"] == F.col("shard"))[0]
+    # where a document stands among those that move, and so which goal's room it falls into
+    stand = F.pmod(F.xxhash64("doc_id", "gid", F.lit(5)), F.greatest("outside", F.lit(1)))
+    passed = F.aggregate("goals", F.struct(stand.alias("left"), F.lit(1).alias("nth")), lambda s, p: F.when(
+        s["left"] >= room[p["shard"]], F.struct((s["left"] - room[p["shard"]]).alias("left"), (s["nth"] + 1).alias("nth"))).otherwise(
+        F.struct(F.lit(-1).cast("long").alias("left"), s["nth"].alias("nth"))))["nth"]
+    rows = rows.withColumns({"own": own, "best": F.get("goals", F.least(passed, F.size("goals")) - 1)})
+    single = F.col("least.shard") == F.col("places")[0]["shard"]
+    rows = rows.withColumn("moves", (F.col("shard") != F.col("best.shard")) & (F.col("own.n") <= F.col("best.n")) & (single | (F.col("own") < F.col("least"))))
     kind = F.when(F.col("rows") > limit, F.xxhash64("gid", "doc_id", F.lit(k))).otherwise(F.xxhash64("gid", F.lit(k)))
     return rows.select(
-        *state.columns, F.when(own < F.col("best"), F.col("best.shard")).alias("target"),
+        *state.columns, F.when(F.col("moves"), F.col("best.shard")).alias("target"),
         F.least(F.floor(F.log2("best.n")), F.lit(40)).cast("int").alias("strength"), F.pmod(kind, F.lit(classes)).cast("int").alias("class"))
 
 
