@@ -81,13 +81,47 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(docs, _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import fill_middle
+
+    return fill_middle.digests(common.table(spark, sf_dir, "documents"), seed=1)
+
+
+def op12_heap_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import heap_bpe
+
+    return heap_bpe.digests(common.table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import periodic_runs
+
+    return periodic_runs.digests(common.table(spark, sf_dir, "documents"), least=12, repeat_tails=True)
+
+
 QUERIES = {f.__name__: f for f in (op1_topk_search, op2_label_propagation_sharding, op3_pii_weak_supervision,
                                    op4_embedding_near_dedup, op5_token_store, op6_ngram_jaccard, op7_best_two_fit,
-                                   op8_language_id, op9_byte_bpe, op10_quality_resampling)}
+                                   op8_language_id, op9_byte_bpe, op10_quality_resampling, op11_fill_in_middle,
+                                   op12_heap_bpe, op13_periodic_runs)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
+    "op11_fill_in_middle": """
+        WITH t AS (
+            SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS x, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS tokens FROM documents
+        ), h AS (
+            SELECT *, len(tokens) AS n, ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2, ('0x' || x[17:24])::BIGINT AS h3, ('0x' || x[25:32])::BIGINT AS h4 FROM t
+        ), f AS (
+            SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                        WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h
+        ), p AS (
+            SELECT *, array_to_string(tokens[1:a], '') AS prefix, array_to_string(tokens[a + 1:b], '') AS middle, array_to_string(tokens[b + 1:n], '') AS suffix FROM f
+        ) SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars,
+                 CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+                 sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p""",
     "op6_ngram_jaccard": f"""
         WITH RECURSIVE w AS (
             SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents
