@@ -7,7 +7,7 @@ order around sentinels: prefix, suffix, middle (psm) or suffix, prefix, middle (
 those that are empty or hold a sentinel, stay as they are (plain). `restore` rebuilds the text from output and form.
 
 Scale. One pass, no shuffle: each row depends on its own doc_id and text. Offsets are taken in stretches of some
-64 thousand characters which end where no token crosses, so a text costs four bytes a token beside itself.
+64 thousand characters which end where no token crosses, of which only the counts are kept, so a long text costs little beside itself.
 
 Edge cases. Null text: empty. Empty text: plain, n = 0. Null doc_id: hashed as the word `null`, kept as null.
 Repeated doc_ids: the same ranks by hash, applied to each row's own text. Very long texts: whole, in stretches; a run of
@@ -20,7 +20,6 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -58,13 +57,28 @@ def _stretches(text: str, least: int) -> Iterator[tuple[int, str]]:
         at = end
 
 
-def offsets(text: str, stretch: int = STRETCH) -> np.ndarray:
-    """Code-point offset at which each token of `text` starts."""
-    split = _splitter().pre_tokenize_str
-    found = [np.fromiter((span[0] for _, span in split(part)), np.int32) + np.int64(at) for at, part in _stretches(text, stretch)]
-    if len(text) < 1 << 31:
-        found = [f.astype(np.int32) for f in found]
-    return np.concatenate(found) if found else np.zeros(0, np.int32)
+class Offsets:
+    """Token offsets of a text: their number and the one of any rank. Of a text of several stretches only their counts are kept."""
+
+    def __init__(self, text: str, stretch: int = STRETCH):
+        self.text, self.split = text, _splitter().pre_tokenize_str
+        self.parts, self.spans = [], []
+        for at, part in _stretches(text, stretch):
+            self.spans = self.split(part)
+            self.parts.append((at, len(self.spans)))
+        self.n = sum(n for _, n in self.parts)
+
+    def __getitem__(self, rank: int) -> int:
+        """Code-point offset at which the token of this rank starts; the text's length for n."""
+        if rank == self.n:
+            return len(self.text)
+        for k, (at, n) in enumerate(self.parts):
+            if rank < n:
+                last = k == len(self.parts) - 1
+                spans = self.spans if last else self.split(self.text[at : self.parts[k + 1][0]])
+                return at + spans[rank][1][0]
+            rank -= n
+        raise IndexError(rank)
 
 
 def draws(doc_id: int | None, seed: int = 1) -> tuple[int, int, int, int]:
@@ -76,11 +90,11 @@ def draws(doc_id: int | None, seed: int = 1) -> tuple[int, int, int, int]:
 def transform_text(doc_id: int | None, text: str, seed: int = 1, plain_percent: int = 10, spm_percent: int = 20) -> tuple:
     """n, form, prefix_chars, middle_chars, output."""
     h1, h2, h3, h4 = draws(doc_id, seed)
-    starts = offsets(text)
-    n = len(starts)
+    starts = Offsets(text)
+    n = starts.n
     if not text or any(s in text for s in SENTINELS) or h3 % 100 >= 100 - plain_percent:
         return n, "plain", None, None, text
-    low, high = (int(starts[r]) if r < n else len(text) for r in sorted((h1 % (n + 1), h2 % (n + 1))))
+    low, high = (starts[r] for r in sorted((h1 % (n + 1), h2 % (n + 1))))
     prefix, middle, suffix = text[:low], text[low:high], text[high:]
     p, s, m = SENTINELS
     if h4 % 100 < spm_percent:

@@ -11,7 +11,7 @@ candidates with these likelihoods as soft labels, decides on every candidate tha
 Scale. One pass over the texts writes candidates, a small table; patterns are counted as an aggregate of at most
 `len(KINDS) * 3 ** labelers` rows; training takes at most `sample_rows` candidates drawn by hash; a pass over
 the candidates classifies. No shuffle of texts. Patterns take time in proportion to a text's length, also where
-it is one long run of digits or letters.
+it is one long run of digits or letters. No pattern ends a span after a number of signs: a long secret is masked whole.
 
 Edge cases. Null text: empty, no spans. Repeated rows and null doc_ids are kept. No candidates at all: base spans
 only, of which there are none. Candidates that overlap a base span or an earlier candidate are left out. Empty
@@ -45,25 +45,40 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 # The wider patterns.
-SECRET = re.compile(r"(?i:token|password|passwd|secret|api[_-]?key)\x20?[:=]\x20?[\"']?([A-Za-z0-9+/_-]{8,256})")
-SPELLED = re.compile(r"[A-Za-z0-9._-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}\x20?[\[(]dot[\])]\x20?[A-Za-z]{2,24}")
+SECRET = re.compile(r"(?i:token|password|passwd|secret|api[_-]?key)[\"']?\x20?[:=]\x20?[\"']?([A-Za-z0-9+/_-]{8,})")
+KEYED = re.compile(r"(?<![A-Za-z0-9_-])(?:AKIA|ASIA|ghp_|gho_|sk-|xoxb-|xoxp-|eyJ|AIza)[A-Za-z0-9+/_-]{12,}")
+PEM_BEGIN = re.compile(r"-----BEGIN(?:\x20[A-Z]+)*\x20PRIVATE\x20KEY-----")
+PEM_END = re.compile(r"-----END(?:\x20[A-Z]+)*\x20PRIVATE\x20KEY-----")
+SPELLED_AT = re.compile(r"\x20?[\[(]at[\])]|\x20at\x20")
+SPELLED_DOMAIN = re.compile(r"\x20?[A-Za-z0-9-]++(?:\x20?[\[(]dot[\])]\x20?[A-Za-z0-9-]++)*\x20?[\[(]dot[\])]\x20?[A-Za-z]{2,}+(?![0-9-])")
+PLAIN_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\x20dot\x20[A-Za-z0-9-]++)*\x20dot\x20(?:com|org|net|edu|gov|de|fr|es|uk|io|info)(?![A-Za-z0-9-])")
+SPELLED_LOCAL = LOCAL - frozenset("%+")
 LOCAL_PHONE = re.compile(r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}")
 
 # Gazetteers.
-GIVEN_NAMES = (
+GIVEN_NAMES = frozenset((
     "Alice Anna Antonio Carlos Charles Claire David Elena Emma Fritz Hans Heinrich Ivan James Jean John "
     "Jose Juan Julia Karl Laura Louis Lucia Maria Marie Mark Mary Michael Paul Pedro Peter Pierre Robert "
     "Sarah Sofia Susan Thomas William"
-).split()
+).split())
 ISSUERS = ("4", "34", "35", "37", "51", "52", "53", "54", "55", "6011", "65")
 TOP_DOMAINS = "com org net edu gov de fr es uk io info".split()
 COUNTRY_CODES = ("1", "33", "34", "39", "41", "43", "44", "49")
 SECRET_WORDS = ("token", "password", "passwd", "secret", "api", "key")
-SECRET_PREFIXES = ("AKIA", "ghp_", "gho_", "sk-", "xoxb-", "xoxp-", "eyJ", "AIza")
+SECRET_PREFIXES = ("-----BEGIN", "AKIA", "ASIA", "ghp_", "gho_", "sk-", "xoxb-", "xoxp-", "eyJ", "AIza")
 PLACEHOLDERS = ("changeme", "example", "placeholder", "password", "undefined", "redacted", "required", "your")
-FOR_WORDS = frozenset("call phone tel telephone fax mobile mail email e-mail contact card visa mastercard iban name mr mrs ms dr herr frau monsieur madame signed token password secret login user ip host".split())
+FOR_WORDS = frozenset("author by call dear regards sincerely phone tel telephone fax mobile mail email e-mail contact card visa mastercard iban name mr mrs ms dr herr frau monsieur madame signed token password secret login user ip host".split())
 AGAINST_WORDS = frozenset("version isbn issn order page figure table chapter section rfc build release no nr".split())
-NAME = re.compile(r"\b(?:" + "|".join(GIVEN_NAMES) + r")\x20[A-Z][\w'-]{1,30}")
+# two different words with capitals
+NAME = re.compile(r"(?<![\w'-])([A-ZÀ-ÖØ-Þ][\w'-]+)\x20(?!\1(?![\w'-]))[A-ZÀ-ÖØ-Þ][\w'-]+")
+TITLE_CASE = re.compile(r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?:['-][A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿ]+)*")
+NOT_NAMES = frozenset(
+    "a an and at by for from he her his i in it of on or our she that the their these they this those to was we what when where who with you your "
+    "der die das ein eine und von le la les un une des et el los las y "
+    "january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday "
+    "north south east west new old great united states city street road river lake sea mount university institute company license licensed copyright apache version "
+    "chapter section figure table part volume".split()
+)
 WORD = re.compile(r"[\w-]+")
 
 
@@ -121,14 +136,45 @@ def listed(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for kind, a, b in sorted(spans, key=lambda s: (order[s[0]], s[1], s[2])))
 
 
+def _spelled(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses spelled like name (at) host (dot) org, to the left and right of each "at": no sign is looked at more than twice."""
+    end = 0
+    for at in SPELLED_AT.finditer(text):
+        start = at.start()
+        while start > end and text[start - 1] in SPELLED_LOCAL:
+            start -= 1
+        shape = PLAIN_DOMAIN if at.group() == " at " else SPELLED_DOMAIN
+        domain = shape.match(text, at.end()) if start < at.start() else None
+        if domain:
+            end = domain.end()
+            yield start, end
+
+
+def _private_keys(text: str) -> Iterator[tuple[int, int]]:
+    """Private keys between their marks, or to the end of the text where the closing mark is lacking."""
+    at = text.find("-----BEGIN")
+    while at >= 0:
+        begin, end = PEM_BEGIN.match(text, at), at + 1
+        if begin:
+            close = PEM_END.search(text, begin.end())
+            end = close.end() if close else len(text)
+            yield at, end
+        at = text.find("-----BEGIN", end)
+
+
 def _wider(text: str) -> Iterator[tuple[str, int, int]]:
     lower_signs = "=" in text or ":" in text
     if lower_signs:
         for m in SECRET.finditer(text):
             yield "secret", *m.span(1)
-    if "(at)" in text or "[at]" in text:
-        for m in SPELLED.finditer(text):
-            yield "spelled", *m.span()
+    if any(prefix in text for prefix in SECRET_PREFIXES):
+        for m in KEYED.finditer(text):
+            yield "secret", *m.span()
+    for span in _private_keys(text):
+        yield "secret", *span
+    if "(at)" in text or "[at]" in text or " at " in text:
+        for span in _spelled(text):
+            yield "spelled", *span
     if DOTTED.search(text):
         for m in LOCAL_PHONE.finditer(text):
             yield "number", *m.span()
@@ -164,7 +210,11 @@ def _entropy(s: str) -> float:
 
 
 def regex_labeler(kind: str, span: str, before: list[str]) -> int:
-    if kind in ("email", "ip", "phone", "spelled"):
+    if kind == "spelled":
+        return 1 if "(" in span or "[" in span else 0
+    if kind == "name":
+        return 0 if all(TITLE_CASE.fullmatch(w) for w in span.split(" ")) else -1
+    if kind in ("email", "ip", "phone"):
         return 1
     if kind in ("card", "number"):
         d = _digits(span)
@@ -187,18 +237,23 @@ def gazetteer_labeler(kind: str, span: str, before: list[str]) -> int:
     if kind == "ip":
         return -1 if span.startswith(("0.", "127.")) else 0
     if kind == "name":
-        return 1
+        words = span.split(" ")
+        return -1 if any(w.lower() in NOT_NAMES for w in words) else 1 if words[0] in GIVEN_NAMES else 0
     return -1 if span.lower().startswith(PLACEHOLDERS) else 1 if span.startswith(SECRET_PREFIXES) else 0
 
 
 def context_labeler(kind: str, span: str, before: list[str]) -> int:
     # the word that makes a secret a candidate says nothing more about it
     words = {w for w in before if kind != "secret" or not w.startswith(SECRET_WORDS)}
+    if kind == "name":  # two capitals alone are no name
+        return 1 if words & FOR_WORDS and not words & AGAINST_WORDS else -1
     return 1 if words & FOR_WORDS else -1 if words & AGAINST_WORDS else 0
 
 
 def form_labeler(kind: str, span: str, before: list[str]) -> int:
     """Regex labeler on repetition: filler such as 0000000000 is not personal."""
+    if kind == "name":
+        return 0
     signs = set(span) - set(" -.()+")
     return -1 if len(signs) <= 2 else 1 if len(signs) >= 5 else 0
 
@@ -215,20 +270,19 @@ def describe(text: str, kind: str, a: int, b: int) -> tuple[int, list[int]]:
         votes = 3 * votes + labeler(kind, span, before) + 1
     shape = re.sub("[0-9]+", "9", re.sub("[A-Z]+", "A", re.sub("[a-z]+", "a", span)))[:24]
     parts = [f"kind {kind}", f"shape {kind} {shape}", f"length {kind} {min(40, b - a)}", f"prefix {kind} {span[:2]}",
-             f"luhn {kind} {luhn(_digits(span))}", f"signs {kind} {min(8, len(set(span)))}", *(f"before {kind} {w}" for w in before if w in FOR_WORDS or w in AGAINST_WORDS)]
+             f"luhn {kind} {luhn(_digits(span))}", f"listed {kind} {gazetteer_labeler(kind, span, before)}", f"signs {kind} {min(8, len(set(span)))}", *(f"before {kind} {w}" for w in before if w in FOR_WORDS or w in AGAINST_WORDS)]
     return votes, [zlib.crc32(p.encode()) % FEATURES for p in parts]
 
 
 # --- estimation ----------------------------------------------------------------------------------
 
 def _no_worse_than_chance(votes: np.ndarray) -> None:
-    """Of a labeler's distributions [other or personal, vote]: votes for must not be rarer, and votes against not more
-    frequent, on personal spans than on others; where they are, the vote tells nothing. So no labeler is turned round."""
-    if votes[1, 2] < votes[0, 2]:
-        votes[:, 2] = votes[:, 2].mean()
-    if votes[1, 0] > votes[0, 0]:
-        votes[:, 0] = votes[:, 0].mean()
-    votes[:, 1] = 1 - votes[:, 0] - votes[:, 2]
+    """Of a labeler's distributions [other or personal, vote]: of the votes it casts, those for must not be a smaller share on
+    personal spans than on others; where they are, its votes tell nothing. So no labeler is turned round."""
+    cast = votes[:, 0] + votes[:, 2]
+    if votes[1, 2] / cast[1] < votes[0, 2] / cast[0]:
+        votes[:, 2] = cast * votes[:, 2].sum() / cast.sum()
+        votes[:, 0] = cast - votes[:, 2]
 
 
 def reliabilities(patterns: dict[tuple[str, int], int], rounds: int = 100) -> tuple[np.ndarray, dict[tuple[str, int], float]]:
@@ -255,7 +309,9 @@ def reliabilities(patterns: dict[tuple[str, int], int], rounds: int = 100) -> tu
         share = np.array([(1 + (n * personal)[kinds == k].sum()) / (2 + n[kinds == k].sum()) for k in range(len(KINDS))])
         logs = np.log(share[kinds]) - np.log(1 - share[kinds])
         for j in range(len(LABELERS)):
-            logs = logs + np.log(table[j, 1, votes[:, j]]) - np.log(table[j, 0, votes[:, j]])
+            # a labeler that does not vote, as some never do on a kind, tells nothing
+            given = np.log(table[j] / (table[j, :, :1] + table[j, :, 2:]))
+            logs = logs + np.where(votes[:, j] == 1, 0.0, given[1, votes[:, j]] - given[0, votes[:, j]])
         personal = 1 / (1 + np.exp(-np.clip(logs, -30, 30)))
     return table, dict(zip(keys, personal.tolist(), strict=True))
 
