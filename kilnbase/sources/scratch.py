@@ -29,3 +29,11 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     """Asked of the file system that Spark reads the path with."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a path of the shared folder once nothing reads it any more."""
+    if not path.startswith(shared_top(spark) + "/"):
+        raise ValueError(f"not in the shared folder: {path}")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
