@@ -11,7 +11,9 @@ bound for a query is the sum over its terms of weight times the greatest share,
 Search. The bounds of all blocks of the query's terms come from the postings without their arrays. The `k` blocks of greatest bound
 hold at least k documents; the k-th score among them is a floor, and of all other blocks only those whose bound reaches it are scored.
 
-Scale. No list of a frequent term is gathered: a row holds one block. The driver holds a batch of queries, a frequency for each of
+Scale. No list of a frequent term is gathered: a row holds one block. Words are shuffled once, by ranges of term and block, and counted
+behind the shuffle; texts hold most of their words once, so counting before it saved little and took a shuffle more. One doc_id that
+repeats in very many rows therefore brings its rows of a word to one task, where they are counted, not gathered. The driver holds a batch of queries, a frequency for each of
 their terms and k block numbers for each query, nothing that grows with the index.
 
 Edge cases. Null or empty text, or none but signs: no words, not a document of the index. Repeated doc_ids are one document of all their
@@ -74,12 +76,10 @@ class Index:
 def build(docs: DataFrame, path: str, buckets: int = 64, block: int = 128) -> Index:
     """Writes the index of `docs` (doc_id, words) below `path`."""
     spark = docs.sparkSession
-    raw = shared_path(spark, "index-counts")
-    docs.select(F.col("doc_id").cast("long"), F.explode("words").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf")).write.parquet(raw)
-    counts = spark.read.parquet(raw)
+    docs = docs.select(F.col("doc_id").cast("long"), "words").where(F.size("words") > 0)
     sizes = shared_path(spark, "index-lengths")
     length_class = F.floor(F.log2(F.col("n")) * 4).cast("long")
-    counts.groupBy("doc_id").agg(F.sum("tf").alias("n")).select("doc_id", "n", length_class.alias("class")).write.parquet(sizes)
+    docs.groupBy("doc_id").agg(F.sum(F.size("words")).alias("n")).select("doc_id", "n", length_class.alias("class")).write.parquet(sizes)
     lengths = spark.read.parquet(sizes)
     # at most 4 * 63 classes of lengths
     classes = lengths.groupBy("class").agg(F.ceil(F.count("*") / F.lit(block)).alias("parts"))
@@ -87,16 +87,19 @@ def build(docs: DataFrame, path: str, buckets: int = 64, block: int = 128) -> In
     total = figures.first()
     placed = lengths.join(F.broadcast(classes), "class").select(
         "doc_id", "n", F.shiftleft("class", 48).bitwiseOR(F.pmod(F.xxhash64("doc_id"), F.col("parts"))).alias("block"))
-    held = counts.join(placed, counts["doc_id"].eqNullSafe(placed["doc_id"])).select(counts["doc_id"], "term", "tf", "n", "block")
-    lists = F.sort_array(F.collect_list(F.struct("doc_id", "tf", "n")))
-    postings = held.groupBy("term", "block").agg(lists.alias("held"), F.max(share(F.col("tf"), F.col("n"), total["mean"])).alias("top"))
+    word = docs.select("doc_id", F.explode("words").alias("term"))
     by_term = F.col("bucket"), F.col("term")
-    postings.select(bucket(F.col("term"), buckets).alias("bucket"), "term", "block", "top", F.size("held").alias("docs"), "held").repartitionByRange(
-        F.col("bucket"), F.col("term"), F.col("block")).sortWithinPartitions(*by_term, "block").write.partitionBy("bucket").parquet(f"{path}/postings")
+    # one exchange: both groupings and the order of the files follow from its ranges
+    dealt = word.join(placed, word["doc_id"].eqNullSafe(placed["doc_id"])).select(
+        bucket(F.col("term"), buckets).alias("bucket"), "term", "block", word["doc_id"], "n").repartitionByRange(*by_term, "block")
+    held = dealt.groupBy(*by_term, "block", "doc_id", "n").agg(F.count("*").alias("tf"))
+    lists = F.sort_array(F.collect_list(F.struct("doc_id", "tf", "n")))
+    postings = held.groupBy(*by_term, "block").agg(lists.alias("held"), F.max(share(F.col("tf"), F.col("n"), total["mean"])).alias("top"))
+    postings.select(*by_term, "block", "top", F.size("held").alias("docs"), "held").sortWithinPartitions(
+        *by_term, "block").write.partitionBy("bucket").parquet(f"{path}/postings")
     spark.read.schema(SCHEMAS["postings"]).parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.sum("docs").alias("df")).repartitionByRange(
         *by_term).sortWithinPartitions(*by_term).write.partitionBy("bucket").parquet(f"{path}/terms")
     figures.coalesce(1).write.parquet(f"{path}/figures")
-    discard(spark, raw)
     discard(spark, sizes)
     return open_index(spark, path)
 
