@@ -12,7 +12,7 @@ Search. The bounds of all blocks of the query's terms come from the postings wit
 hold at least k documents; the k-th score among them is a floor, and of all other blocks only those whose bound reaches it are scored.
 
 Scale. No list of a frequent term is gathered: a row holds one block. Words are shuffled once, by ranges of term and block, and counted
-behind the shuffle; texts hold most of their words once, so counting before it saved little and took a shuffle more. One doc_id that
+behind that shuffle; texts meet their blocks before they are taken apart. One doc_id that
 repeats in very many rows therefore brings its rows of a word to one task, where they are counted, not gathered. The driver holds a batch of queries, a frequency for each of
 their terms and k block numbers for each query, nothing that grows with the index.
 
@@ -87,11 +87,10 @@ def build(docs: DataFrame, path: str, buckets: int = 64, block: int = 128) -> In
     total = figures.first()
     placed = lengths.join(F.broadcast(classes), "class").select(
         "doc_id", "n", F.shiftleft("class", 48).bitwiseOR(F.pmod(F.xxhash64("doc_id"), F.col("parts"))).alias("block"))
-    word = docs.select("doc_id", F.explode("words").alias("term"))
     by_term = F.col("bucket"), F.col("term")
-    # one exchange: both groupings and the order of the files follow from its ranges
-    dealt = word.join(placed, word["doc_id"].eqNullSafe(placed["doc_id"])).select(
-        bucket(F.col("term"), buckets).alias("bucket"), "term", "block", word["doc_id"], "n").repartitionByRange(*by_term, "block")
+    word = docs.join(placed, docs["doc_id"].eqNullSafe(placed["doc_id"])).select(docs["doc_id"], "n", "block", F.explode("words").alias("term"))
+    # one exchange of words: both groupings and the order of the files follow from its ranges
+    dealt = word.withColumn("bucket", bucket(F.col("term"), buckets)).repartitionByRange(*by_term, "block")
     held = dealt.groupBy(*by_term, "block", "doc_id", "n").agg(F.count("*").alias("tf"))
     lists = F.sort_array(F.collect_list(F.struct("doc_id", "tf", "n")))
     postings = held.groupBy(*by_term, "block").agg(lists.alias("held"), F.max(share(F.col("tf"), F.col("n"), total["mean"])).alias("top"))
