@@ -11,9 +11,9 @@ bound for a query is the sum over its terms of weight times the greatest share,
 Search. The bounds of all blocks of the query's terms come from the postings without their arrays. The `k` blocks of greatest bound
 hold at least k documents; the k-th score among them is a floor, and of all other blocks only those whose bound reaches it are scored.
 
-Scale. No list of a frequent term is gathered: a row holds one block. Words are shuffled once, by ranges of term and block, and counted
-behind that shuffle; texts meet their blocks before they are taken apart. One doc_id that
-repeats in very many rows therefore brings its rows of a word to one task, where they are counted, not gathered. The driver holds a batch of queries, a frequency for each of
+Scale. No list of a frequent term is gathered: a row holds one block. Texts meet their blocks before they are taken apart, each text counts its own
+words, and the counts are shuffled once, by bucket of the term and part of the blocks. One doc_id that
+repeats in very many rows therefore brings its rows of a word to one task, where they are added, not gathered. The driver holds a batch of queries, a frequency for each of
 their terms and k block numbers for each query, nothing that grows with the index.
 
 Edge cases. Null or empty text, or none but signs: no words, not a document of the index. Repeated doc_ids are one document of all their
@@ -37,6 +37,8 @@ SCHEMAS = {
 K1, B = 1.2, 0.75
 #: Scores are compared after rounding to so many digits, and bounds with room for as much.
 DIGITS = 6
+#: A bucket's rows are dealt over so many parts by their blocks, so a term of all documents is no task's own.
+PARTS = 16
 
 
 def bucket(term: Column, buckets: int) -> Column:
@@ -48,6 +50,14 @@ def share(tf: Column, n: Column, mean: float) -> Column:
     return tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * n / F.lit(mean)))
 
 
+def counted(words: str) -> Column:
+    """Each distinct word of a sorted array column with its count, as an array of (term, tf)."""
+    word = F.col(words)
+    first = F.filter(F.sequence(F.lit(0), F.size(word) - 1), lambda i: ~F.get(word, i).eqNullSafe(F.get(word, i - 1)))
+    last = F.filter(F.sequence(F.lit(0), F.size(word) - 1), lambda i: ~F.get(word, i).eqNullSafe(F.get(word, i + 1)))
+    return F.zip_with(first, last, lambda a, b: F.struct(F.get(word, a).alias("term"), (b - a + 1).cast("long").alias("tf")))
+
+
 @dataclass(frozen=True)
 class Index:
     spark: SparkSession
@@ -88,12 +98,15 @@ def build(docs: DataFrame, path: str, buckets: int = 64, block: int = 128) -> In
     placed = lengths.join(F.broadcast(classes), "class").select(
         "doc_id", "n", F.shiftleft("class", 48).bitwiseOR(F.pmod(F.xxhash64("doc_id"), F.col("parts"))).alias("block"))
     by_term = F.col("bucket"), F.col("term")
-    word = docs.join(placed, docs["doc_id"].eqNullSafe(placed["doc_id"])).select(docs["doc_id"], "n", "block", F.explode("words").alias("term"))
-    # one exchange of words: both groupings and the order of the files follow from its ranges
-    dealt = word.withColumn("bucket", bucket(F.col("term"), buckets)).repartitionByRange(*by_term, "block")
-    held = dealt.groupBy(*by_term, "block", "doc_id", "n").agg(F.count("*").alias("tf"))
+    ordered = docs.withColumn("words", F.sort_array("words"))
+    counts = ordered.join(placed, ordered["doc_id"].eqNullSafe(placed["doc_id"])).select(
+        ordered["doc_id"], "n", "block", F.inline(counted("words")))
+    # one exchange of words, by term and part of the blocks: both groupings are within its partitions
+    dealt = counts.withColumns({"bucket": bucket(F.col("term"), buckets), "part": F.pmod(F.xxhash64("block"), F.lit(PARTS)).cast("int")}).repartition(
+        F.col("bucket"), F.col("part"))
+    held = dealt.groupBy(*by_term, "part", "block", "doc_id", "n").agg(F.sum("tf").alias("tf"))
     lists = F.sort_array(F.collect_list(F.struct("doc_id", "tf", "n")))
-    postings = held.groupBy(*by_term, "block").agg(lists.alias("held"), F.max(share(F.col("tf"), F.col("n"), total["mean"])).alias("top"))
+    postings = held.groupBy(*by_term, "part", "block").agg(lists.alias("held"), F.max(share(F.col("tf"), F.col("n"), total["mean"])).alias("top"))
     postings.select(*by_term, "block", "top", F.size("held").alias("docs"), "held").sortWithinPartitions(
         *by_term, "block").write.partitionBy("bucket").parquet(f"{path}/postings")
     spark.read.schema(SCHEMAS["postings"]).parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.sum("docs").alias("df")).repartitionByRange(
