@@ -89,14 +89,15 @@ def build(docs: DataFrame, path: str, buckets: int = 64, block: int = 128) -> In
     docs = docs.select(F.col("doc_id").cast("long"), "words").where(F.size("words") > 0)
     sizes = shared_path(spark, "index-lengths")
     length_class = F.floor(F.log2(F.col("n")) * 4).cast("long")
-    docs.groupBy("doc_id").agg(F.sum(F.size("words")).alias("n")).select("doc_id", "n", length_class.alias("class")).write.parquet(sizes)
+    rows = docs.groupBy("doc_id").agg(F.sum(F.size("words")).alias("n"), F.count("*").alias("rows"))
+    rows.select("doc_id", "n", "rows", length_class.alias("class")).write.parquet(sizes)
     lengths = spark.read.parquet(sizes)
-    # at most 4 * 63 classes of lengths
-    classes = lengths.groupBy("class").agg(F.ceil(F.count("*") / F.lit(block)).alias("parts"))
     figures = lengths.agg(F.count("*").alias("docs"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("mean")).withColumn("buckets", F.lit(buckets))
     total = figures.first()
-    placed = lengths.join(F.broadcast(classes), "class").select(
-        "doc_id", "n", F.shiftleft("class", 48).bitwiseOR(F.pmod(F.xxhash64("doc_id"), F.col("parts"))).alias("block"))
+    # at most 4 * 63 classes of lengths
+    classes = lengths.groupBy("class").agg(F.ceil(F.count("*") / F.lit(block)), F.max("rows")).collect()
+    parts = F.element_at(F.create_map(*[F.lit(x) for c in classes for x in c[:2]]), F.col("class")) if classes else F.lit(1)
+    placed = lengths.select("doc_id", "n", F.shiftleft("class", 48).bitwiseOR(F.pmod(F.xxhash64("doc_id"), parts)).alias("block"))
     by_term = F.col("bucket"), F.col("term")
     ordered = docs.withColumn("words", F.sort_array("words"))
     counts = ordered.join(placed, ordered["doc_id"].eqNullSafe(placed["doc_id"])).select(
@@ -104,7 +105,8 @@ def build(docs: DataFrame, path: str, buckets: int = 64, block: int = 128) -> In
     # one exchange of words, by term and part of the blocks: both groupings are within its partitions
     dealt = counts.withColumns({"bucket": bucket(F.col("term"), buckets), "part": F.pmod(F.xxhash64("block"), F.lit(PARTS)).cast("int")}).repartition(
         F.col("bucket"), F.col("part"))
-    held = dealt.groupBy(*by_term, "part", "block", "doc_id", "n").agg(F.sum("tf").alias("tf"))
+    repeats = any(c[2] > 1 for c in classes)  # of doc_ids; where there are none, a word comes once for each document
+    held = dealt.groupBy(*by_term, "part", "block", "doc_id", "n").agg(F.sum("tf").alias("tf")) if repeats else dealt
     lists = F.sort_array(F.collect_list(F.struct("doc_id", "tf", "n")))
     postings = held.groupBy(*by_term, "part", "block").agg(lists.alias("held"), F.max(share(F.col("tf"), F.col("n"), total["mean"])).alias("top"))
     postings.select(*by_term, "block", "top", F.size("held").alias("docs"), "held").sortWithinPartitions(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnbase.operators import joins, windows
+from kilnbase.operators import frames, joins, scans, windows
 from kilnbase.sources.catalog import load
 
 from .registry import query
@@ -26,7 +26,7 @@ def join_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = load(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_totalprice")
     points = load(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
     price = F.col("o_totalprice")
-    return joins.range_join(points, spans, F.col("c_acctbal") * 30, price, price + 40, 80.0).select("c_custkey", "o_orderkey")
+    return joins.range_join(points, spans, F.col("c_acctbal") * 30, price, price + 40).select("c_custkey", "o_orderkey")
 
 
 @query("""SELECT a.event_id, b.event_id AS later_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'view'
@@ -104,3 +104,37 @@ def join_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def sample_bernoulli(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "orders").sample(fraction=0.1, seed=3).select("o_orderkey")
+
+
+@query("""SELECT p.event_id, v.event_id AS match_event_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+    ASOF LEFT JOIN (SELECT ts, max(event_id) AS event_id FROM events WHERE event_type = 'signup' GROUP BY ts) v ON p.ts >= v.ts""")
+def join_asof_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last signup of anyone before each purchase: all rows are of one key, scanned in parts."""
+    events = load(spark, sf_dir, "events").select(F.lit(0).alias("k"), "event_id", "ts", "event_type")
+    bought, seen = (events.where(F.col("event_type") == t).drop("event_type") for t in ("purchase", "signup"))
+    return scans.asof_join(bought, seen, "k", "ts", "ts", "event_id").select("event_id", "match_event_id")
+
+
+@query("""WITH s AS (SELECT ts, CASE WHEN lag(ts) OVER w IS NULL OR ts > lag(ts) OVER w + INTERVAL 5 MINUTE THEN 1 ELSE 0 END AS st FROM events WINDOW w AS (ORDER BY ts, event_id)),
+    n AS (SELECT *, sum(st) OVER (ORDER BY ts) AS session FROM s)
+    SELECT session::BIGINT AS session, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM n GROUP BY session""")
+def win_sessionize_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spells of activity of the whole site: all rows are of one key, scanned in parts."""
+    events = load(spark, sf_dir, "events").select(F.lit(0).alias("k"), "ts")
+    return scans.sessionize(events, "k", "ts", "5 MINUTES").drop("k")
+
+
+def _excluding(exclude: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.col("l_quantity").cast("decimal(15,2)").alias("q"))
+        out = frames.excluding(lines, ["l_orderkey"], ["l_quantity"], "q", exclude, 2, 1)
+        return out.select("l_orderkey", "l_linenumber", "l_partkey", F.col("sum").cast("decimal(30,2)").alias("total"), F.col("count").alias("n"), F.col("min").alias("low"), F.col("max").alias("high"))
+
+    run.__name__ = f"win_exclude_{exclude.lower().replace(' ', '_')}"
+    return query(f"""SELECT l_orderkey, l_linenumber, l_partkey, (sum(q) OVER w)::DECIMAL(30,2) AS total, count(q) OVER w AS n, min(q) OVER w AS low, max(q) OVER w AS high
+        FROM (SELECT *, l_quantity::DECIMAL(15,2) AS q FROM lineitem)
+        WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_quantity GROUPS BETWEEN 2 PRECEDING AND 1 FOLLOWING EXCLUDE {exclude})""")(run)
+
+
+for _exclude in ("CURRENT ROW", "GROUP", "TIES"):
+    _excluding(_exclude)

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from kilnbase.functions import text as T
-from kilnbase.operators import graph, joins, windows
+from kilnbase.operators import frames, graph, joins, scans, windows
 
 
 def test_asof_ties_nulls_and_strict(spark):
@@ -20,17 +20,42 @@ def test_asof_ties_nulls_and_strict(spark):
 def test_range_join_equals_nested_loop(spark):
     points = spark.createDataFrame([(k, float(k * 7 % 50)) for k in range(40)] + [(99, None)], "p int, x double")
     spans = spark.createDataFrame([(k, float(k * 3 % 40), float(k * 3 % 40 + k % 9)) for k in range(30)] + [(77, None, 3.0), (78, 9.0, 1.0)], "s int, a double, b double")
-    got = joins.range_join(points, spans, F.col("x"), F.col("a"), F.col("b"), 5.0).select("p", "s").collect()
+    got = joins.range_join(points, spans, F.col("x"), F.col("a"), F.col("b")).select("p", "s").collect()
     want = points.join(spans, F.expr("x between a and b")).select("p", "s").collect()
     assert sorted(got) == sorted(want) and got
 
 
 def test_range_join_plan_has_no_nested_loop(spark):
     points, spans = spark.range(1000).selectExpr("id p", "double(id) x"), spark.range(1000).selectExpr("id s", "double(id) a", "double(id + 3) b")
-    plan = joins.range_join(points, spans, F.col("x"), F.col("a"), F.col("b"), 4.0)._jdf.queryExecution().executedPlan().toString()
+    plan = joins.range_join(points, spans, F.col("x"), F.col("a"), F.col("b"))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_range_join_of_very_short_and_very_long_spans(spark):
+    top = 10**9
+    points = spark.createDataFrame([(k, float(k * k * 7919 % top)) for k in range(300)] + [(900, -0.5), (901, float("nan")), (902, float("inf")), (903, 1e300)], "p int, x double")
+    spans = [(k, float(k * k * 7919 % top), float(k * k * 7919 % top + 10 ** (k % 10))) for k in range(300)]
+    spans += [(900, float("-inf"), float("inf")), (901, 5.0, 5.0), (902, -1e308, 1e308), (903, float("nan"), 1.0), (904, -1.0, 0.0), (905, 0.0, float("nan"))]
+    spans = spark.createDataFrame(spans, "s int, a double, b double")
+    joined = joins.range_join(points, spans, F.col("x"), F.col("a"), F.col("b"))
+    want = [(p, s) for p, x in points.collect() for s, a, b in spans.collect() if a <= x <= b]
+    assert sorted((r["p"], r["s"]) for r in joined.select("p", "s").collect()) == sorted(want) and len(want) > 3000
+    assert joins.range_join(points, spans.limit(0), F.col("x"), F.col("a"), F.col("b")).isEmpty()
+    whole = points.selectExpr("p", "cast(9007199254740993 + p as decimal(20,0)) x"), spans.selectExpr("s", "cast(9007199254740993 + s as decimal(20,0)) a")
+    got = joins.range_join(*whole, F.col("x"), F.col("a"), F.col("a")).select("p", "s").collect()
+    assert got and all(r["p"] == r["s"] for r in got) and len(got) == 304
+
+
+def test_a_span_gives_few_rows(spark):
+    spans = spark.range(2000).selectExpr("double(id * 7919 % 1000003) a", "double(id * 7919 % 1000003 + power(10, id % 10)) b")
+    lines = joins.range_join(spark.range(0).selectExpr("double(id) x"), spans, F.col("x"), F.col("a"), F.col("b"))._jdf.queryExecution().analyzed().toString()
+    assert "sequence(" not in lines
+    level = joins.span_level(F.col("a"), F.col("b"))
+    assert spans.select(level).distinct().count() <= 31
+    cells = spans.select(level.alias("k"), "a", "b").selectExpr("floor(b / power(2, k)) - floor(a / power(2, k)) + 1 n")
+    assert cells.agg(F.max("n")).first()[0] <= 2
+
+
 def test_sessionize_boundary(spark):
     t = dt.datetime(2024, 1, 1)
     rows = [("u", t, 1), ("u", t + dt.timedelta(minutes=30), 2), ("u", t + dt.timedelta(minutes=61), 3), ("u", None, 4)]
@@ -38,6 +63,38 @@ def test_sessionize_boundary(spark):
     assert sorted(r["n"] for r in got) == [1, 2]
 
 
+def test_scans_of_one_key_are_spread_and_equal_the_plain_ones(spark):
+    rows = spark.range(4000).selectExpr("case when id % 4 > 0 then 'hot' when id % 8 = 0 then null else concat('k', id % 40) end k",
+                                        "timestamp_seconds(1700000000 + (id * 7919 % 3001) * 60) ts", "id")
+    rows = rows.withColumn("ts", F.when(F.col("id") % 97 > 0, F.col("ts")))
+    left, right = rows.where("id % 3 = 0"), rows.where("id % 3 = 1")
+    plain = joins.asof_join(left, right.where("k IS NOT NULL AND ts IS NOT NULL"), "k", "ts", "ts", "id").collect()
+    got = scans.asof_join(left, right, "k", "ts", "ts", "id").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, plain), key=repr)
+    for gap in ("1 MINUTES", "3 MINUTES"):
+        plain = windows.sessionize(rows, "k", "ts", "id", gap).collect()
+        got = scans.sessionize(rows, "k", "ts", gap).collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, plain), key=repr)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = scans.dealt(rows, "k", "ts").where("k = 'hot'").groupBy("_part").count().collect()
+        got = scans.sessionize(rows, "k", "ts", "3 MINUTES").collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, plain), key=repr)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(parts) >= 3 and max(r["count"] for r in parts) < 2000
+
+
+def test_exclusions_with_nulls_and_ties(spark):
+    df = spark.createDataFrame([(1, 1, 5), (1, 1, None), (1, 2, 7), (1, 2, 9), (1, None, 1), (2, 1, None)], "k int, o int, v int")
+    pick = lambda e, b, a: sorted(((r["k"], r["o"], r["v"], r["sum"], r["count"], r["min"], r["max"]) for r in frames.excluding(df, ["k"], ["o"], "v", e, b, a).collect()), key=repr)
+    assert (1, 2, 9, 12, 2, 5, 7) in pick("CURRENT ROW", 1, 0) and (2, 1, None, None, 0, None, None) in pick("CURRENT ROW", 1, 1)
+    assert (1, 2, 9, 5, 1, 5, 5) in pick("GROUP", 1, 0) and (1, 1, 5, None, 0, None, None) in pick("GROUP", 0, 0)
+    assert (1, 2, 9, 14, 2, 5, 9) in pick("TIES", 1, 0) and (1, 1, None, None, 0, None, None) in pick("TIES", 0, 0)
+    assert (1, 2, 9, 21, 3, 5, 9) in pick("NO OTHERS", 1, 0)
+
+
 def test_top_k_by_group_is_pruned_before_the_shuffle(spark):
     df = spark.range(100).selectExpr("id % 3 k", "id v")
     out = windows.top_k_by_group(df, ["k"], [F.desc("v")], 2)
