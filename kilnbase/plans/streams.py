@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kilnbase.sources.catalog import load
+from kilnbase.streaming import closing as C
 from kilnbase.streaming import events as E
 
 from .registry import query
@@ -64,3 +65,24 @@ def st_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     finally:
         spark.conf.set(key, before) if before else spark.conf.unset(key)
     return out.groupBy("user_id").agg(F.max("n").alias("n"))
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
+def st_closed_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each day's counts, emitted once when the day closes; the whole table comes again later, and all of it is late."""
+    return C.replayed(spark, load(spark, sf_dir, "events"), lambda s: C.by_window(s, "1 day"), "st-closed-tumbling").rows()
+
+
+@query("""WITH s AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts > lag(ts) OVER w + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS st FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    n AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM s)
+    SELECT min(ts) AS started, user_id, count(*) AS n FROM n GROUP BY user_id, session""")
+def st_closed_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each session, emitted once when it can grow no more; a replay of the table is late."""
+    return C.replayed(spark, load(spark, sf_dir, "events"), lambda s: C.by_session(s, "30 minutes"), "st-closed-session").rows()
+
+
+@query("""WITH h AS (SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2)
+    SELECT date_trunc('day', hour) AS start, event_type, max(n) AS most, count(*) AS windows FROM h GROUP BY 1, 2""")
+def st_closed_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The busiest hour of each day: hourly windows flow into daily ones, both closed by one watermark."""
+    return C.replayed(spark, load(spark, sf_dir, "events"), lambda s: C.busiest(s, "1 hour", "1 day"), "st-closed-chain").rows()
