@@ -31,6 +31,11 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
 
 
+def is_there(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Deletes a path of the shared folder once nothing reads it any more."""
     if not path.startswith(shared_top(spark) + "/"):

@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from kilnbase.operators.windows import first_by_key
 from kilnbase.sources.catalog import load
 from kilnbase.sources.scratch import is_folder, shared_path
+from kilnbase.streaming.keyed import KeyedTable, upsert
 
 LATE = "40 days"  # a table's files come in no order of time, so nothing within its span may count as late
 
@@ -101,26 +101,15 @@ class CountPerUser(StatefulProcessor):
         pass
 
 
-def latest_by_user(stream: DataFrame, name: str) -> DataFrame:
-    """Upsert: the last event of each user, merged batch by batch into a table of versions.
-
-    A batch reads the version before its own and writes its own, so one that is run again gives the same.
-    """
-    spark, out = stream.sparkSession, shared_path(stream.sparkSession, name)
-    last = [-1]
+def latest_table(spark: SparkSession, path: str, buckets: int = 32) -> KeyedTable:
+    """The last event of each user."""
+    return KeyedTable(spark, path, "user_id long, event_id long, ts timestamp", ("user_id",), lambda: F.struct(-F.unix_micros("ts"), -F.col("event_id")), buckets)
 
-    def merge(batch: DataFrame, number: int) -> None:
-        rows = batch.select("user_id", "event_id", "ts")
-        if number:
-            rows = rows.unionByName(batch.sparkSession.read.schema(rows.schema).parquet(f"{out}/version={number - 1}"))
-        first_by_key(rows, ["user_id"], F.struct(-F.unix_micros("ts"), -F.col("event_id"))).write.mode("overwrite").parquet(f"{out}/version={number}")
-        last[0] = number
 
-    query = stream.writeStream.outputMode("append").option("checkpointLocation", shared_path(spark, f"{name}-log")).trigger(availableNow=True).foreachBatch(merge).start()
-    query.awaitTermination()
-    if last[0] < 0:
-        return spark.createDataFrame([], stream.select("user_id", "event_id", "ts").schema)
-    return spark.read.parquet(f"{out}/version={last[0]}")
+def latest_by_user(stream: DataFrame, name: str) -> DataFrame:
+    spark = stream.sparkSession
+    table = latest_table(spark, shared_path(spark, name))
+    return upsert(stream, table, shared_path(spark, f"{name}-log")).read()
 
 
 def running_totals(stream: DataFrame) -> DataFrame:

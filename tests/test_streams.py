@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from kilnbase.plans import registry
+from kilnbase.sources.scratch import shared_path
 from kilnbase.streaming import events as E
+from kilnbase.streaming import keyed
 
 STREAMS = sorted(n for n in registry.QUERIES if n.startswith("st_"))
 
@@ -66,3 +68,33 @@ def test_duplicates_within_the_watermark_go(spark, tmp_path):
     got = E.run_append(E.deduplicated(E.event_stream(spark, top, files_per_batch=1)), "dedup")
     assert sorted(r["event_id"] for r in got.collect()) == [1, 2]
     assert got.where(F.col("user_id") != 1).isEmpty()
+
+
+def test_an_upsert_killed_before_its_commit_goes_on_and_writes_what_it_touches(spark, tmp_path, monkeypatch):
+    users = range(200)
+    batches = [[(u, at(1), u) for u in users], [(1000, at(5), 3), (1001, at(4), 3)], [(2000, at(9), 7), (2001, at(0), 8)], [(3000, at(9), 9)]]
+    top = write_batches(spark, tmp_path, batches)
+    table, log = E.latest_table(spark, shared_path(spark, "killed"), 64), shared_path(spark, "killed-log")
+    write, failed = keyed.KeyedTable._commit, []
+
+    def once(self, number, versions):
+        if number == 1 and not failed:
+            failed.append(number)
+            raise RuntimeError("killed")
+        write(self, number, versions)
+
+    monkeypatch.setattr(keyed.KeyedTable, "_commit", once)
+    with pytest.raises(Exception, match="killed"):
+        keyed.upsert(E.event_stream(spark, top, files_per_batch=1), table, log)
+    assert table.last() == 0 and table.read().count() == 200
+    keyed.upsert(E.event_stream(spark, top, files_per_batch=1), table, log)
+    want = {u: u for u in users} | {3: 1000, 7: 2000, 9: 3000}
+    assert {r["user_id"]: r["event_id"] for r in table.read().collect()} == want and table.last() == 3
+    assert spark.read.parquet(f"{table.path}/rows/version=3").count() < 20  # of 200 keys, those of one bucket of 64
+    assert sorted(os.listdir(f"{table.path}/commits")) == ["n=2", "n=3"]
+    assert keyed.upsert(E.event_stream(spark, top, files_per_batch=1), table, log).last() == 3
+
+
+def test_an_empty_keyed_table(spark):
+    table = E.latest_table(spark, shared_path(spark, "none"))
+    assert table.last() == -1 and table.read().isEmpty()
