@@ -7,9 +7,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnbase.sources import formats
+from kilnbase.sources import formats, parts
 from kilnbase.sources.catalog import load
 from kilnbase.sources.scratch import shared_path
+from kilnbase.streaming.events import run_append
 
 from .registry import query
 
@@ -53,10 +54,29 @@ def scan_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.read_binary(spark, path).where("length > 0").select(F.decode("content", "UTF-8").alias("content"), "length")
 
 
-@query("SELECT d::DATE AS day, isodow(d)::INT AS weekday FROM range(TIMESTAMP '2024-01-01', TIMESTAMP '2025-01-01', INTERVAL 1 DAY) t(d)")
+_EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
+
+
+def _event_files(spark: SparkSession, sf_dir: str) -> str:
+    """The events in the shared folder, where Python workers can open them whatever store the tables are in."""
+    path = shared_path(spark, "events-parts")
+    load(spark, sf_dir, "events").selectExpr(*[f"CAST({c.rsplit(' ', 1)[0]} AS {c.rsplit(' ', 1)[1]}) AS {c.rsplit(' ', 1)[0]}" for c in _EVENTS.split(", ")]).write.parquet(path)
+    parts.enable(spark)
+    return path
+
+
+@query("SELECT event_id, ts, user_id, value FROM events WHERE event_type = 'purchase' AND user_id >= 10")
 def scan_python_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.dataSource.register(formats.CalendarSource)
-    return spark.read.format("calendar").option("days", "366").load()
+    """Purchases read through the Python source; both filters are evaluated in it."""
+    rows = spark.read.format(parts.NAME).schema(_EVENTS).option("path", _event_files(spark, sf_dir)).load()
+    return rows.where("event_type = 'purchase' AND user_id >= 10").select("event_id", "ts", "user_id", "value")
+
+
+@query("SELECT event_id, ts, user_id, event_type, value FROM events")
+def stream_python_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events through the Python source's stream reader."""
+    rows = spark.readStream.format(parts.NAME).schema(_EVENTS).option("path", _event_files(spark, sf_dir)).load()
+    return run_append(rows, "python-stream")
 
 
 @query("SELECT n_nationkey, n_nationkey * 2 + 1 AS v FROM nation")

@@ -1,11 +1,8 @@
-"""File formats, sinks and a custom source, all through Spark's reader and writer."""
+"""File formats, sinks and databases, all through Spark's reader and writer."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 FORMATS = {"parquet": {}, "orc": {}, "json": {}, "csv": {"header": "true"}, "xml": {"rowTag": "row"}}
@@ -29,48 +26,28 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
-    """A table over JDBC; the driver's jar must be on the session's class path."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
-
-
-def read_external(spark: SparkSession, kind: str, **options: str) -> DataFrame:
-    """Avro, Kafka and other connectors whose jars a cluster brings."""
-    return spark.read.format(kind).options(**options).load()
-
-
-class _Span(InputPartition):
-    def __init__(self, low: int, high: int):
-        self.low, self.high = low, high
+def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = None, parts: int = 8, where: str | None = None, **options: str) -> DataFrame:
+    """A table over JDBC; the driver's jar must be on the session's class path.
 
+    With a `column` (named as the database holds it) of whole numbers, dates or times it is read in `parts` ranges of that column, one connection each, between the bounds that the database gives for the rows
+    of `where`, which is in the database's own SQL; rows beyond bounds, or with a null, are in the outer ranges, so none is lost. Spark pushes filters, columns and limits to the database.
+    An empty table, or one with nulls only, is read in one part.
+    """
+    source = f"(SELECT * FROM {table} WHERE {where}) rows_wanted" if where else table
+    reader = spark.read.format("jdbc").options(url=url, **options)
+    if column:
+        name = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(column)
+        ends = reader.option("dbtable", f"(SELECT MIN({name}) AS low, MAX({name}) AS high FROM {source}) bounds").load().first()
+        if ends[0] is not None:
+            reader = reader.options(partitionColumn=column, lowerBound=str(ends[0]), upperBound=str(ends[1]), numPartitions=parts)
+    return reader.option("dbtable", source).load()
 
-class CalendarSource(DataSource):
-    """`spark.read.format("calendar")`: the days from option `start` on, `days` of them, in `parts` partitions."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "calendar"
+def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", connections: int = 8, rows_a_batch: int = 10_000, **options: str) -> None:
+    """Writes over at most `connections` connections, in batches of rows; a task that is run again may write its rows again, so load a table of its own and switch by name."""
+    df.write.format("jdbc").mode(mode).options(url=url, dbtable=table, numPartitions=connections, batchsize=rows_a_batch, **options).save()
 
-    def schema(self) -> str:
-        return "day date, weekday int"
 
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _CalendarReader(self.options)
-
-
-class _CalendarReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.start = options.get("start", "2024-01-01")
-        self.days, self.parts = int(options.get("days", "366")), int(options.get("parts", "4"))
-
-    def partitions(self) -> list[InputPartition]:
-        cuts = [self.days * k // self.parts for k in range(self.parts + 1)]
-        return [_Span(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import datetime
-
-        first = datetime.date.fromisoformat(self.start)
-        for k in range(partition.low, partition.high):
-            day = first + datetime.timedelta(days=k)
-            yield day, day.isoweekday()
+def read_external(spark: SparkSession, kind: str, **options: str) -> DataFrame:
+    """Avro, Kafka and other connectors whose jars a cluster brings."""
+    return spark.read.format(kind).options(**options).load()
