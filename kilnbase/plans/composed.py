@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kilnbase.operators import frames, joins, scans, windows
+from kilnbase.operators.quantiles import quantiles
 from kilnbase.sources.catalog import load
 
 from .registry import query
@@ -115,13 +116,13 @@ def join_asof_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.asof_join(bought, seen, "k", "ts", "ts", "event_id").select("event_id", "match_event_id")
 
 
-@query("""WITH s AS (SELECT ts, CASE WHEN lag(ts) OVER w IS NULL OR ts > lag(ts) OVER w + INTERVAL 5 MINUTE THEN 1 ELSE 0 END AS st FROM events WINDOW w AS (ORDER BY ts, event_id)),
+@query("""WITH s AS (SELECT ts, CASE WHEN lag(ts) OVER w IS NULL OR ts > lag(ts) OVER w + INTERVAL 1 MINUTE THEN 1 ELSE 0 END AS st FROM events WINDOW w AS (ORDER BY ts, event_id)),
     n AS (SELECT *, sum(st) OVER (ORDER BY ts) AS session FROM s)
     SELECT session::BIGINT AS session, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM n GROUP BY session""")
 def win_sessionize_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spells of activity of the whole site: all rows are of one key, scanned in parts."""
     events = load(spark, sf_dir, "events").select(F.lit(0).alias("k"), "ts")
-    return scans.sessionize(events, "k", "ts", "5 MINUTES").drop("k")
+    return scans.sessionize(events, "k", "ts", "1 MINUTES").drop("k")
 
 
 def _excluding(exclude: str):
@@ -138,3 +139,11 @@ def _excluding(exclude: str):
 
 for _exclude in ("CURRENT ROW", "GROUP", "TIES"):
     _excluding(_exclude)
+
+
+@query("""SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.1), 6) AS p10, round(quantile_cont(l_extendedprice, 0.5), 6) AS med, round(quantile_cont(l_extendedprice, 0.999), 6) AS p999
+    FROM lineitem GROUP BY l_returnflag""")
+def agg_percentile_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact percentiles of three very large groups, found by rank in parts."""
+    found = quantiles(load(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice", {"p10": 0.1, "med": 0.5, "p999": 0.999})
+    return found.select("l_returnflag", *[F.round(c, 6).alias(c) for c in ("p10", "med", "p999")])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kilnbase.functions import text as T
 from kilnbase.operators import frames, graph, joins, scans, windows
+from kilnbase.operators.quantiles import quantiles
 
 
 def test_asof_ties_nulls_and_strict(spark):
@@ -86,6 +87,17 @@ def test_scans_of_one_key_are_spread_and_equal_the_plain_ones(spark):
     assert len(parts) >= 3 and max(r["count"] for r in parts) < 2000
 
 
+def test_quantiles_are_those_of_percentile(spark):
+    df = spark.range(3000).selectExpr("case when id % 3 > 0 then 'hot' when id % 9 = 0 then null else concat('k', id % 7) end k", "if(id % 11 = 0, null, if(id % 2 = 0, 5, id * 7919 % 1009)) v")
+    df = df.unionByName(spark.createDataFrame([("empty", None), ("one", 4)], "k string, v long"))
+    got = {r["k"]: (r["a"], r["b"], r["c"]) for r in quantiles(df, "k", "v", {"a": 0.0, "b": 0.37, "c": 1.0}).collect()}
+    want = {r["k"]: tuple(r["p"]) for r in df.groupBy("k").agg(F.expr("percentile(v, array(0.0, 0.37, 1.0)) p")).collect() if r["p"]}
+    assert set(got) == set(want) and got["one"] == (4, 4, 4)
+    for k in want:
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got[k], want[k], strict=True))
+    assert quantiles(df.limit(0), "k", "v", {"m": 0.5}).isEmpty()
+
+
 def test_exclusions_with_nulls_and_ties(spark):
     df = spark.createDataFrame([(1, 1, 5), (1, 1, None), (1, 2, 7), (1, 2, 9), (1, None, 1), (2, 1, None)], "k int, o int, v int")
     pick = lambda e, b, a: sorted(((r["k"], r["o"], r["v"], r["sum"], r["count"], r["min"], r["max"]) for r in frames.excluding(df, ["k"], ["o"], "v", e, b, a).collect()), key=repr)
