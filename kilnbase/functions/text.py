@@ -49,7 +49,7 @@ def chunks(text: Column, size: int, overlap: int = 0) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def normalized(text: Column) -> Column:

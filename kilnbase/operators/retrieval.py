@@ -11,9 +11,9 @@ bound for a query is the sum over its terms of weight times the greatest share,
 Search. The bounds of all blocks of the query's terms come from the postings without their arrays. The `k` blocks of greatest bound
 hold at least k documents; the k-th score among them is a floor, and of all other blocks only those whose bound reaches it are scored.
 
-Scale. No list of a frequent term is gathered: a row holds one block. Texts meet their blocks before they are taken apart, each text counts its own
-words, and the counts are shuffled once, by bucket of the term and part of the blocks. One doc_id that
-repeats in very many rows therefore brings its rows of a word to one task, where they are added, not gathered. The driver holds a batch of queries, a frequency for each of
+Scale. No list of a frequent term is gathered: a row holds one block. A text goes to its block by its own length alone (only where a doc_id repeats are lengths
+joined), a block of texts is counted and turned into its lists at once, and the lists are shuffled by bucket of the term and part of the blocks. Tasks are as many as
+the words ask for, so none grows with the table. One doc_id that repeats in very many rows brings them to one task, where they are added as they pass, not gathered. The driver holds a batch of queries, a frequency for each of
 their terms and k block numbers for each query, nothing that grows with the index.
 
 Edge cases. Null or empty text, or none but signs: no words, not a document of the index. Repeated doc_ids are one document of all their
@@ -23,12 +23,16 @@ named twice in a query counts once, and fewer than k matching documents give few
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kilnbase.sources.scratch import discard, shared_path
+from kilnbase.sources.scratch import shared_path
 
 SCHEMAS = {
     "postings": "term string, block long, top double, docs int, held array<struct<doc_id: long, tf: long, n: long>>, bucket int",
@@ -37,25 +41,17 @@ SCHEMAS = {
 K1, B = 1.2, 0.75
 #: Scores are compared after rounding to so many digits, and bounds with room for as much.
 DIGITS = 6
-#: A bucket's rows are dealt over so many parts by their blocks, so a term of all documents is no task's own.
-PARTS = 16
+#: A task has the texts, or the lists, of some so many words.
+WORDS = 1 << 21
 
 
 def bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def share(tf: Column, n: Column, mean: float) -> Column:
-    """What a term adds to a score, before its weight."""
-    return tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * n / F.lit(mean)))
-
-
-def counted(words: str) -> Column:
-    """Each distinct word of a sorted array column with its count, as an array of (term, tf)."""
-    word = F.col(words)
-    first = F.filter(F.sequence(F.lit(0), F.size(word) - 1), lambda i: ~F.get(word, i).eqNullSafe(F.get(word, i - 1)))
-    last = F.filter(F.sequence(F.lit(0), F.size(word) - 1), lambda i: ~F.get(word, i).eqNullSafe(F.get(word, i + 1)))
-    return F.zip_with(first, last, lambda a, b: F.struct(F.get(word, a).alias("term"), (b - a + 1).cast("long").alias("tf")))
+def share(tf, n, mean: float):
+    """What a term adds to a score, before its weight; of columns or of arrays."""
+    return tf * (K1 + 1) / (tf + K1 * ((1 - B) + B * n / mean))
 
 
 @dataclass(frozen=True)
@@ -83,38 +79,71 @@ class Index:
         return self.spark.createDataFrame(rows, "query long, term string, weight double")
 
 
+def word_counts(texts: pa.RecordBatch) -> pa.Table:
+    """term, doc_id, n, tf: each text's distinct words, of rows (doc_id, n, words)."""
+    words = texts.column("words")
+    terms = words.flatten().dictionary_encode()
+    size = max(1, len(terms.dictionary))
+    keys = pc.list_parent_indices(words).to_numpy().astype(np.int64) * size + terms.indices.to_numpy()
+    keys, tf = np.unique(keys, return_counts=True)
+    row = pa.array(keys // size)
+    return pa.table({"term": terms.dictionary.take(pa.array(keys % size)), "doc_id": texts.column("doc_id").take(row), "n": texts.column("n").take(row), "tf": pa.array(tf, pa.int64())})
+
+
+def block_postings(block: int, counts: pa.Table, mean: float) -> pa.Table:
+    """A row for each term of a block's word counts, in which no document has a term twice."""
+    code = counts["term"].combine_chunks().dictionary_encode().indices.to_numpy()
+    doc = counts["doc_id"].combine_chunks()
+    order = np.lexsort((doc.fill_null(0).to_numpy(), doc.is_valid().to_numpy(zero_copy_only=False), code))  # a null doc_id comes first
+    counts, code = counts.take(pa.array(order)).combine_chunks(), code[order]
+    begins = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    ends = np.append(begins, len(code)).astype(np.int32)
+    doc, tf, n = (counts[c].combine_chunks() for c in ("doc_id", "tf", "n"))
+    return pa.table({
+        "term": counts["term"].take(pa.array(begins)), "block": pa.array(np.full(len(begins), block, np.int64)),
+        "top": pa.array(np.maximum.reduceat(share(tf.to_numpy(), n.to_numpy(), mean), begins)), "docs": pa.array(np.diff(ends)),
+        "held": pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([doc, tf, n], names=["doc_id", "tf", "n"]))})
+
+
 def build(docs: DataFrame, path: str, buckets: int = 64, block: int = 128) -> Index:
     """Writes the index of `docs` (doc_id, words) below `path`."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), "words").where(F.size("words") > 0)
-    sizes = shared_path(spark, "index-lengths")
+    texts = docs.select(F.col("doc_id").cast("long"), "words", F.size("words").cast("long").alias("n"))
+    # texts without words are left out by their length only after it is known: a filter before would take all texts apart once more
+    lengths = texts.groupBy("doc_id").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).where("n > 0")
     length_class = F.floor(F.log2(F.col("n")) * 4).cast("long")
-    rows = docs.groupBy("doc_id").agg(F.sum(F.size("words")).alias("n"), F.count("*").alias("rows"))
-    rows.select("doc_id", "n", "rows", length_class.alias("class")).write.parquet(sizes)
-    lengths = spark.read.parquet(sizes)
-    figures = lengths.agg(F.count("*").alias("docs"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("mean")).withColumn("buckets", F.lit(buckets))
-    total = figures.first()
     # at most 4 * 63 classes of lengths
-    classes = lengths.groupBy("class").agg(F.ceil(F.count("*") / F.lit(block)), F.max("rows")).collect()
-    parts = F.element_at(F.create_map(*[F.lit(x) for c in classes for x in c[:2]]), F.col("class")) if classes else F.lit(1)
-    placed = lengths.select("doc_id", "n", F.shiftleft("class", 48).bitwiseOR(F.pmod(F.xxhash64("doc_id"), parts)).alias("block"))
+    classes = lengths.groupBy(length_class.alias("class")).agg(F.count("*").alias("docs"), F.sum("n").alias("n"), F.max("rows").alias("rows")).collect()
+    total, words = (sum(c[x] for c in classes) for x in ("docs", "n"))
+    mean = words / total if total else 0.0
+    repeats = any(c["rows"] > 1 for c in classes)
+    if repeats:  # the length of a doc_id is that of all its rows
+        whole = lengths.select(F.col("doc_id").alias("of"), F.col("n").alias("all"))
+        texts = texts.join(whole, F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", "words", F.col("all").alias("n"))
+    blocks = F.element_at(F.create_map(*[F.lit(x) for c in classes for x in (c["class"], -(-c["docs"] // block))]), length_class) if classes else F.lit(1)
+    placed = texts.withColumn("block", F.shiftleft(length_class, 48).bitwiseOR(F.pmod(F.xxhash64("doc_id"), blocks)))
+
+    def lists(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = None
+        for batch in batches:
+            more = word_counts(batch)
+            counts = more if counts is None else pa.concat_tables([counts, more])
+            if repeats:  # added as they pass
+                counts = counts.group_by(["term", "doc_id", "n"]).aggregate([("tf", "sum")]).rename_columns(["term", "doc_id", "n", "tf"])
+        if counts is not None and counts.num_rows:
+            yield from block_postings(key[0].as_py(), counts, mean).combine_chunks().to_batches()
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // WORDS))
+    found = placed.repartition(tasks, "block").groupBy("block").applyInArrow(lists, SCHEMAS["postings"].removesuffix(", bucket int"))
+    # dealt by term and, where there are many, part of the blocks: a task has some of one bucket
+    parts = max(1, -(-words // (buckets * WORDS)))
+    found = found.withColumn("bucket", bucket(F.col("term"), buckets))
     by_term = F.col("bucket"), F.col("term")
-    ordered = docs.withColumn("words", F.sort_array("words"))
-    counts = ordered.join(placed, ordered["doc_id"].eqNullSafe(placed["doc_id"])).select(
-        ordered["doc_id"], "n", "block", F.inline(counted("words")))
-    # one exchange of words, by term and part of the blocks: both groupings are within its partitions
-    dealt = counts.withColumns({"bucket": bucket(F.col("term"), buckets), "part": F.pmod(F.xxhash64("block"), F.lit(PARTS)).cast("int")}).repartition(
-        F.col("bucket"), F.col("part"))
-    repeats = any(c[2] > 1 for c in classes)  # of doc_ids; where there are none, a word comes once for each document
-    held = dealt.groupBy(*by_term, "part", "block", "doc_id", "n").agg(F.sum("tf").alias("tf")) if repeats else dealt
-    lists = F.sort_array(F.collect_list(F.struct("doc_id", "tf", "n")))
-    postings = held.groupBy(*by_term, "part", "block").agg(lists.alias("held"), F.max(share(F.col("tf"), F.col("n"), total["mean"])).alias("top"))
-    postings.select(*by_term, "block", "top", F.size("held").alias("docs"), "held").sortWithinPartitions(
-        *by_term, "block").write.partitionBy("bucket").parquet(f"{path}/postings")
+    dealt = found.repartitionById(buckets * parts, F.col("bucket") * parts + F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int"))
+    dealt.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
     spark.read.schema(SCHEMAS["postings"]).parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.sum("docs").alias("df")).repartitionByRange(
         *by_term).sortWithinPartitions(*by_term).write.partitionBy("bucket").parquet(f"{path}/terms")
-    figures.coalesce(1).write.parquet(f"{path}/figures")
-    discard(spark, sizes)
+    spark.createDataFrame([(total, mean, buckets)], "docs long, mean double, buckets int").coalesce(1).write.parquet(f"{path}/figures")
     return open_index(spark, path)
 
 

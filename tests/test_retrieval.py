@@ -85,3 +85,24 @@ def test_edges(spark, tmp_path):
     assert empty.docs == 0 and retrieval.search(empty, {0: ["a"]}, 5).count() == 0
     with pytest.raises(Exception, match="figures"):
         retrieval.open_index(spark, str(tmp_path))
+
+
+def test_repeated_documents_and_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "WORDS", 64, raising=False)
+    rows = [(k % 5 or None, [f"w{k % 3}", "all", f"x{k % 7}"] * (k % 4)) for k in range(200)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        index = retrieval.build(spark.createDataFrame(rows, "doc_id long, words array<string>").repartition(5), shared_path(spark, "index"), 2, 2)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    whole = {}
+    for d, w in rows:
+        whole.setdefault(d, Counter()).update(w)
+    held = index.read("postings").select("term", "docs", "top", F.inline("held")).collect()
+    assert sorted(((r["term"], r["doc_id"], r["tf"], r["n"]) for r in held), key=repr) == sorted(
+        ((t, d, k, sum(c.values())) for d, c in whole.items() for t, k in c.items()), key=repr)
+    assert {r["term"]: r["df"] for r in index.read("terms").collect()} == Counter(t for c in whole.values() for t in c)
+    files = index.read("postings").select(F.input_file_name().alias("f")).distinct().count()
+    assert files > index.buckets and index.docs == 5
+    tops = [(retrieval.share(r["tf"], r["n"], index.mean), r["top"]) for r in held]
+    assert all(s <= top + 1e-12 for s, top in tops)
