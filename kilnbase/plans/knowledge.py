@@ -71,10 +71,14 @@ _INDEXES: dict[tuple[str, str, str], str] = {}
 
 @query(f"SELECT doc_id, term, tf, count(*) OVER (PARTITION BY term) AS df FROM ({_POSTINGS})")
 def kb_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The postings of the stored index, with each term's document frequency."""
+    """The postings of the stored index, with each term's document frequency.
+
+    Lists meet their term before they are taken apart, and neither side is sorted: a task hashes its terms.
+    """
     index = _index(spark, sf_dir)
-    rows = index.read("postings").select("bucket", "term", F.explode("held").alias("h"))
-    return rows.join(index.read("terms"), ["bucket", "term"]).select("h.doc_id", "term", "h.tf", "df")
+    lists = index.read("postings").select("term", "held")
+    rows = lists.join(index.read("terms").select("term", "df").hint("shuffle_hash"), "term")
+    return rows.select("term", "df", F.explode("held").alias("h")).select("h.doc_id", "term", "h.tf", "df")
 
 
 @query(f"""WITH p AS ({_POSTINGS}), l AS (SELECT doc_id, sum(tf) AS n FROM p GROUP BY doc_id), g AS (SELECT count(*) AS docs, avg(n) AS mean FROM l),

@@ -87,6 +87,18 @@ def test_edges(spark, tmp_path):
         retrieval.open_index(spark, str(tmp_path))
 
 
+def test_lists_meet_their_terms_whole_and_unsorted(spark, sf_dir):
+    from kilnbase.plans import registry
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a large table of terms
+    try:
+        plan = registry.QUERIES["kb_index"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and plan.index("Generate explode(held") < plan.index("ShuffledHashJoin")
+
+
 def test_repeated_documents_and_many_parts(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "WORDS", 64, raising=False)
     rows = [(k % 5 or None, [f"w{k % 3}", "all", f"x{k % 7}"] * (k % 4)) for k in range(200)]
