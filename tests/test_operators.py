@@ -141,3 +141,15 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
 
     plan = registry.QUERIES["q6_forecast_revenue"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_discount)" in plan and "l_comment" not in plan and "l_shipdate" not in plan
+
+
+def test_frames_are_dealt_by_rows_and_sorted_twice(spark, monkeypatch):
+    df = spark.range(2000).selectExpr("id % 50 k", "id * 7 % 9 o", "id % 13 v")
+    want = frames.excluding(df, ["k"], ["o"], "v", "CURRENT ROW", 2, 1).orderBy("k", "o", "v", "sum", "min", "max").collect()
+    monkeypatch.setattr(frames, "ROWS", 100, raising=False)
+    got = frames.excluding(df, ["k"], ["o"], "v", "CURRENT ROW", 2, 1)
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    assert "hashpartitioning(k" in final and ", 20), REPARTITION_BY_NUM" in final and final.count(" Sort [") == 2
+    assert got.orderBy("k", "o", "v", "sum", "min", "max").collect() == want
