@@ -153,3 +153,15 @@ def test_frames_are_dealt_by_rows_and_sorted_twice(spark, monkeypatch):
     final = plan[: plan.index("Initial Plan")] if "Initial Plan" in plan else plan
     assert "hashpartitioning(k" in final and ", 20), REPARTITION_BY_NUM" in final and final.count(" Sort [") == 2
     assert got.orderBy("k", "o", "v", "sum", "min", "max").collect() == want
+
+
+def test_estimates_are_not_kept_for_each_distinct_value(spark, tmp_path):
+    from kilnbase.plans import registry
+
+    rows = [("a", k, float(k % 9)) for k in range(90)] + [(None, k % 4, 2.0) for k in range(8)] + [("void", None, None)]
+    spark.createDataFrame(rows, "l_returnflag string, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = registry.QUERIES["agg_approximate"](spark, str(tmp_path))
+    got = {r[0]: tuple(r)[1:] for r in out.collect()}
+    assert got == {"a": (90, 4.0, True, True, True), None: (4, 2.0, True, True, True), "void": (0, None, True, True, True)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Aggregate [" in x and "l_partkey" in x.split("]")[0] and ("approx" in x or "sketch" in x or "percentile" in x)]
