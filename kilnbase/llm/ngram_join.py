@@ -11,8 +11,11 @@ one. Any order is a correct one, so the result is exact whatever the tables hold
 Groups. Only connections are asked for, so not all pairs of a large group are made. Equal sets are one
 class. In up to `ROUNDS` rounds each document is compared with at most `HUBS` hubs of its prefix lists,
 those it shares most lists with. In the last round every remaining candidate pair between
-different components is compared. Pairs inside a component need no comparison, and all others get
-one: no link is lost.
+different components counts, unless the parities of the two sets part them: a set's parity has `64 * WORDS` bits, each odd or
+even as the shingles that fall to it, and two sets differ in as many shingles at least as their parities in bits. So
+a near-copy that no member of a large group is near enough to is not compared with each member. Of what remains
+each document meets the member of least difference of each other component first, and the others if that has not
+joined them. Pairs inside a component need no comparison, and all others get one or differ too much: no link is lost.
 
 Scale. Shingles of all texts are never shuffled, only one order's prefixes are (15 % at 0.85). A list keeps the
 rows that a neighbour by size could link with, so shingles that meet by chance go at once. Sets and
@@ -49,6 +52,9 @@ ORDERS = 3
 ROUNDS = 2
 HUBS = 3
 COUNT_BITS = 20
+#: 64-bit words of a parity. It tells sets of up to some 600 shingles apart well, longer ones less and less.
+WORDS = 8
+PARITY = [f"b{k}" for k in range(WORDS)]
 #: Most ids that go into a Bloom filter, of 16 bits each.
 BLOOM_IDS = 1 << 23
 _BLOCK = 1 << 16
@@ -96,21 +102,31 @@ def prefix(shingles: np.ndarray, ranks: np.ndarray, bits: int, order: int, perce
     return shingles[at[np.lexsort((shingles[at], key[at]))]]
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """`WORDS` words: a bit is set if an odd number of the shingles falls to it."""
+    at = mix(shingles, 300) >> np.uint64(64 - (64 * WORDS - 1).bit_length())
+    odd = np.bincount(at.astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _sketches(docs: DataFrame, size: int, percent: int, bits: int, ranks) -> DataFrame:
-    """doc_id, n, digest of the set, prefix under the first order."""
+    """doc_id, n, digest of the set, prefix under the first order, parity."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ranks.value[0]
         for batch in batches:
-            n, digest, first = [], [], []
+            n, digest, first, odd = [], [], [], []
             for s in shingle_sets(batch.column(1), size):
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 first.append(prefix(s, table, bits, 0, percent).view(np.int64))
+                odd.append(parity(s))
+            words = np.array(odd, np.int64).reshape(-1, WORDS)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(first, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "digest", "p0"])
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(first, pa.list_(pa.int64())), *(pa.array(w) for w in words.T)],
+                names=["doc_id", "n", "digest", "p0", *PARITY])
 
-    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, n long, digest binary, p0 array<long>")
+    schema = "doc_id long, n long, digest binary, p0 array<long>" + "".join(f", {b} long" for b in PARITY)
+    return docs.select("doc_id", "text").mapInArrow(make, schema)
 
 
 def linked_groups(docs: DataFrame, size: int = 4, percent: int = 85, orders: int = ORDERS, bits: int = COUNT_BITS) -> DataFrame:
@@ -147,10 +163,14 @@ def linked_groups(docs: DataFrame, size: int = 4, percent: int = 85, orders: int
             if links.count() * 50 < compared:
                 break
         listed = _mixed(listed, joined)
-        rest = common.written(_between_components(listed, tried, percent), "shingle-pairs")
+        rest = common.written(_between_components(listed, _parities(rows), tried, percent), "shingle-pairs")
         common.discard(spark, listed)
         if not rest.isEmpty():
-            joined = _grown(joined, compare(rest))
+            closest = common.written(_closest(rest), "shingle-pairs")
+            joined = _grown(joined, compare(closest))
+            left = common.written(_apart(rest, joined).join(closest, ["a", "b"], "left_anti"), "shingle-pairs")
+            if not left.isEmpty():
+                joined = _grown(joined, compare(left))
         # the prefixes have served: what stays is a narrow table
         out = common.written(member.select("doc_id", "n").join(joined, member.doc_id == joined.node, "left").select(
             "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")), "shingle-groups")
@@ -229,24 +249,55 @@ def _with_hubs(listed: DataFrame, tried: DataFrame | None, percent: int, hubs: i
     return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
 
 
-def _between_components(placed: DataFrame, tried: DataFrame | None, percent: int) -> DataFrame:
-    """Candidate pairs (a no larger than b) of mixed lists whose documents are in different components."""
-    # components of a list are paired first, so that members of one component never meet
-    spans = placed.groupBy("token", "component").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("reach"))
-    left, right = (spans.select("token", *(F.col(c).alias(f"{side}_{c}") for c in ("component", "low", "high", "reach"))) for side in "xy")
+def _parities(rows: DataFrame) -> DataFrame:
+    """doc_id and parity of each document that has one set; rows that share a doc_id may have several."""
+    one = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(
+        F.min("digest").alias("low"), F.max("digest").alias("high"), *(F.first(b).alias(b) for b in PARITY))
+    return one.where("low = high").drop("low", "high")
+
+
+_DIFFERENCE = " + ".join(f"bit_count(x_{b} ^ y_{b})" for b in PARITY)
+
+
+def _between_components(placed: DataFrame, parities: DataFrame, tried: DataFrame | None, percent: int) -> DataFrame:
+    """Candidate pairs (a no larger than b) of mixed lists whose documents are in different components, those components,
+    and the number of bits in which their parities differ (0 where a parity is lacking)."""
+    known = placed.join(parities, "doc_id", "left")
+    # sets that link differ in (100 - percent) / (100 + percent) of their sizes at most
+    fits = lambda x, y: f"coalesce((100 + {percent}) * ({_DIFFERENCE}) <= (100 - {percent}) * ({x} + {y}), true)"
+    # components of a list are paired first, so that members of one component never meet; the smaller is x
+    spans = known.groupBy("token", "component").agg(
+        F.count("*").alias("docs"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("reach"), *(F.first(b).alias(b) for b in PARITY))
+    left, right = (spans.select("token", *(F.col(c).alias(f"{side}_{c}") for c in ("docs", "component", "low", "high", "reach", *PARITY))) for side in "xy")
     meet = left.join(right, "token").where(
-        f"x_component < y_component and 100 * x_high >= {percent} * y_low and 100 * y_high >= {percent} * x_low "
-        f"and least(x_reach, y_reach) >= {_need(percent, 'x_low', 'y_low')}").select("token", "x_component", "y_component", "y_low", "y_high", "y_reach")
-    side = lambda s: placed.select("token", F.col("component").alias(f"{s}_component"), *(F.col(c).alias(f"{s}_{c}") for c in ("doc_id", "n", "pos")))
+        f"x_component <> y_component and (x_docs < y_docs or x_docs = y_docs and x_component < y_component) and 100 * x_high >= {percent} * y_low and 100 * y_high >= {percent} * x_low "
+        f"and least(x_reach, y_reach) >= {_need(percent, 'x_low', 'y_low')} and (y_docs > 1 or {fits('x_low', 'y_low')})").select("token", "x_component", "y_component", "y_low", "y_high", "y_reach")
+    side = lambda s: known.select("token", F.col("component").alias(f"{s}_component"), *(F.col(c).alias(f"{s}_{c}") for c in ("doc_id", "n", "pos", *PARITY)))
     # what a member of x must meet to fit any member of y
     may = (f"100 * x_n >= {percent} * y_low and 100 * y_high >= {percent} * x_n "
            f"and least(x_n - x_pos, y_reach) >= {_need(percent, 'x_n', 'y_low')}")
     one = meet.join(side("x"), ["token", "x_component"]).where(may).drop("y_low", "y_high", "y_reach")
-    forth = one.join(side("y"), ["token", "y_component"]).where(_near(percent))
-    pairs = _ordered(forth).distinct()
+    forth = one.join(side("y"), ["token", "y_component"]).where(f"{_near(percent)} and {fits('x_n', 'y_n')}")
+    forth = forth.withColumn("bits", F.expr(f"coalesce({_DIFFERENCE}, 0)"))
+    pairs = _ordered(forth, "bits", "x_component", "y_component", "x_doc_id")
+    pairs = pairs.select("a", "b", "bits", *(F.expr(f"if(x_doc_id = {s}, x_component, y_component)").alias(f"{s}_component") for s in "ab")).distinct()
     return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
 
 
+def _closest(pairs: DataFrame) -> DataFrame:
+    """Of the pairs, for each document and each other component the one of least difference."""
+    forth = pairs.groupBy("a", "b_component").agg(F.min(F.struct("bits", "b")).alias("best")).select("a", "best.b")
+    back = pairs.groupBy("b", "a_component").agg(F.min(F.struct("bits", "a")).alias("best")).select("best.a", "b")
+    return forth.unionByName(back).distinct()
+
+
+def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose documents are still in different components."""
+    for s in "ab":
+        pairs = pairs.join(joined.select(F.col("node").alias(s), F.col("component").alias(f"{s}_now")), s, "left")
+    return pairs.where("coalesce(a_now, a) <> coalesce(b_now, b)").select("a", "b").distinct()
+
+
 def _bloom(ids: DataFrame, count: int) -> np.ndarray:
     """A Bloom filter over a column `id` of 16 bits for each: 64-bit words, one bit in each of two words."""
     size = 1 << max(10, (count // 4).bit_length())

@@ -98,6 +98,27 @@ def test_a_near_copy_group_without_centre_is_found_whole(spark):
     assert {r["component_id"] for r in got.collect()} == {0}
 
 
+def test_near_copies_that_do_not_link_are_not_compared_each_with_each(spark, monkeypatch):
+    # copies of a text that is not there itself, most of them too far apart to link
+    rows = []
+    for k in range(120):
+        r, words = random.Random(k), [f"w{i}" for i in range(150)]
+        for at in r.sample(range(150), 2 + k % 2):
+            words[at] = f"x{k}y{at}"
+        rows.append((k, " ".join(words)))
+    compared, verified = [], ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda docs, pairs, *more: compared.append(pairs.count()) or verified(docs, pairs, *more))
+    got = ngram_join.linked_groups(frame(spark, rows), 5, 80, bits=12)
+    assert sorted(map(tuple, got.collect()), key=repr) == brute_groups(rows, 5, 80)
+    assert sum(compared) <= 10 * len(rows), compared
+
+
+@given(st.sets(st.integers(0, 2000), min_size=1), st.sets(st.integers(0, 2000), min_size=1))
+def test_parities_differ_in_no_more_bits_than_sets_in_shingles(x, y):
+    a, b = (ngram_join.parity(np.array(sorted(s), np.uint64)) for s in (x, y))
+    assert len(a) == ngram_join.WORDS and sum(int(w).bit_count() for w in (a ^ b).view(np.uint64)) <= len(x ^ y)
+
+
 def test_frequency_ranks_order_buckets_by_count(spark):
     rows = [(k, f"same four words here {k} {k + 1} {k + 2} {k + 3}") for k in range(50)]
     ranks = ngram_join.frequency_ranks(frame(spark, rows), 4, orders=2, bits=12)
